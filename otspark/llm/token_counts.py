@@ -25,7 +25,7 @@ from otspark.llm.common import text_of
 
 SPACE = "▁"
 #: Pre-tokens whose counts a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class MergeTable:
@@ -123,7 +123,9 @@ def merged_counts(words: list[str], merges: MergeTable, table: np.ndarray) -> np
         keep[at + 1] = False
         new = np.cumsum(keep)[at] - 1
         symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
-        touched = np.unique(np.concatenate([new[new > 0] - 1, new]))
+        near = np.zeros(len(symbols), bool)
+        near[new] = near[np.maximum(new - 1, 0)] = True
+        touched = np.flatnonzero(near)
         after = np.minimum(touched + 1, len(symbols) - 1)
         r, m = merges.lookup(symbols[touched], symbols[after])
         r[(owner[touched] != owner[after]) | (touched == after)] = merges.none
