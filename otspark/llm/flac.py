@@ -50,37 +50,28 @@ def _crc_step(width: int, poly: int) -> np.ndarray:
     return np.array(out, np.uint16)
 
 
-_far: np.ndarray = np.zeros((0, 256), np.uint16)
-
-
-def _crc16_far(n: int) -> np.ndarray:
-    """Row i: what each byte adds to the CRC-16 when i bytes follow it (CRCs without an initial value are linear)."""
-    global _far
-    if len(_far) < n:
-        step, rows = _crc_step(16, 0x8005), list(_far) or [_crc_step(16, 0x8005)]
-        while len(rows) < n:
-            c = rows[-1]
-            rows.append(((c << 8) & 0xFFFF) ^ step[c >> 8])
-        _far = np.array(rows, np.uint16)
-    return _far
+@cache
+def _crc16_far() -> tuple[np.ndarray, np.ndarray]:
+    """What each byte adds to the CRC-16 when i bytes follow it (CRCs without an initial value are linear), row by row; and where the rows begin."""
+    step = _crc_step(16, 0x8005)
+    rows = [step]
+    while len(rows) < 8192:
+        c = rows[-1]
+        rows.append(((c << 8) & 0xFFFF) ^ step[c >> 8])
+    return np.concatenate(rows), np.arange(8191, -1, -1) * 256
 
 
 def crc16(data: bytes) -> int:
-    out = 0
-    for at in range(0, len(data), 8192):  # the table stays within 8192 rows
+    (table, rows), out = _crc16_far(), 0
+    for at in range(0, len(data), 8192):
         part = np.frombuffer(data, np.uint8, min(8192, len(data) - at), at)
-        table = _crc16_far(max(len(part), 1))
-        if out:
+        if out:  # what came before acts as if added to the next two bytes
             part = part.copy()
             part[0] ^= out >> 8
             if len(part) > 1:
                 part[1] ^= out & 255
-                carry = 0
-            else:
-                carry = (out & 255) << 8
-        else:
-            carry = 0
-        out = int(np.bitwise_xor.reduce(table[np.arange(len(part) - 1, -1, -1), part])) ^ carry
+        carry = (out & 255) << 8 if len(part) == 1 else 0
+        out = int(np.bitwise_xor.reduce(table.take(rows[8192 - len(part) :] + part))) ^ carry
     return out
 
 
@@ -111,19 +102,20 @@ def _bits_of(value: int, width: int) -> np.ndarray:
 
 def _rice(residual: np.ndarray) -> tuple[int, int]:
     """Best parameter and the bits that the codes take."""
-    u = ((residual << 1) ^ (residual >> 63)).astype(np.int64)
-    mean = float(u.mean()) if len(u) else 0.0
-    k0 = max(0, int(np.log2(mean * 0.7 + 1e-9))) if mean > 0 else 0
-    costs = {k: int((u >> k).sum()) + len(u) * (1 + k) for k in range(max(0, k0 - 1), min(14, k0 + 1) + 1)}
+    u = (residual << 1) ^ (residual >> 31)
+    n = len(u)
+    total = int(u.sum())
+    k0 = max(0, (2 * total // (3 * max(n, 1))).bit_length() - 1)
+    costs = {k: int((u >> k).sum() if k else total) + n * (1 + k) for k in range(max(0, k0 - 1), min(14, k0 + 1) + 1)}
     k = min(costs, key=costs.get)
     return k, costs[k]
 
 
 def _rice_bits(residual: np.ndarray, k: int) -> np.ndarray:
-    u = (residual << 1) ^ (residual >> 63)
-    ends = np.cumsum((u >> k) + 1 + k)
+    u = (residual << 1) ^ (residual >> 31)
+    ends = np.cumsum((u >> k) + (1 + k))
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    at = ends - k - 1
+    at = ends - (k + 1)
     out[at] = 1
     for j in range(k):
         at += 1
@@ -148,14 +140,11 @@ def _subframe(x: np.ndarray, lpc: tuple[list[int], int, int] | None) -> list[np.
         k, _ = _rice(res)
         head = [_bits_of(0b01000000 | (n - 1) << 1, 8), *[_bits_of(int(v) & 255, 8) for v in x[:n]], _bits_of(width - 1, 4), _bits_of(shift, 5), *[_bits_of(c & ((1 << width) - 1), width) for c in coefs]]
         return [*head, _bits_of(0, 6), _bits_of(k, 4), _rice_bits(res, k)]
-    diff, best = x, None
-    for order in range(3):
-        if order:
-            diff = np.diff(diff)
-        k, bits = _rice(diff)
-        if best is None or bits + 8 * order < best[0]:
-            best = (bits + 8 * order, order, k, diff)
-    bits, order, k, res = best
+    first = np.diff(x)
+    second = np.diff(first)
+    order, res = min(enumerate((x, first, second)), key=lambda d: int(np.abs(d[1]).sum()))
+    k, bits = _rice(res)
+    bits += 8 * order
     if bits + 10 >= 8 * len(x):
         return [_bits_of(0b00000010, 8), np.unpackbits((x & 255).astype(np.uint8))]
     return [_bits_of(0b00010000 | order << 1, 8), *[_bits_of(int(v) & 255, 8) for v in x[:order]], _bits_of(0, 6), _bits_of(k, 4), _rice_bits(res, k)]
@@ -164,7 +153,7 @@ def _subframe(x: np.ndarray, lpc: tuple[list[int], int, int] | None) -> list[np.
 def encode(payload: bytes, lpc: tuple[list[int], int, int] | None = None) -> bytes:
     """A FLAC stream of the payload as signed 8-bit samples (byte - 128), one channel."""
     x = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8)
-    wide, frames = x.astype(np.int64), []
+    wide, frames = x.astype(np.int32), []
     for number, at in enumerate(range(0, len(x), BLOCK)):
         part = wide[at : at + BLOCK]
         head = b"\xff\xf8\x74\x02" + _number(number) + (len(part) - 1).to_bytes(2, "big")
@@ -218,35 +207,39 @@ class Bits:
     def rice(self, count: int, k: int) -> np.ndarray:
         """Residuals of a partition. jumps[j][i]: the set bit that is the stop bit 2**j codes after that at set bit i."""
         if self._ones is None:
-            self._count = np.concatenate([[0], np.cumsum(self.bits, dtype=np.int32)])
-            self._ones = np.flatnonzero(self.bits).astype(np.int32)
+            self._ones = np.flatnonzero(self.bits)
+            self._count = np.zeros(len(self.bits) + 1, np.int64)
+            np.cumsum(self.bits, out=self._count[1:])
         ones, n = self._ones, len(self._ones)
         if not count:
             return np.zeros(0, np.int64)
         if k not in self._jumps:
-            to = self._count[np.minimum(ones + (k + 1), len(self._count) - 1)]
-            jumps = [np.append(to, n)]  # n: beyond the last
-            for _ in range(5):
-                jumps.append(jumps[-1][jumps[-1]])
+            jumps = [np.append(self._count.take(ones + (k + 1), mode="clip"), n)]  # n: beyond the last
+            for _ in range(4):
+                jumps.append(jumps[-1].take(jumps[-1]))
             self._jumps[k] = jumps
         jumps = self._jumps[k]
         i = int(self._count[self.at])
-        far, heads = jumps[5], []
-        for _ in range(-(-count // 32)):
+        step, heads = jumps[4].item, []
+        for _ in range(-(-count // 16)):
             heads.append(i)
-            i = int(far[i])
-        at = np.array(heads, np.int32)
-        for j in range(4, -1, -1):
-            at = np.stack([at, jumps[j][at]], 1).reshape(-1)
+            i = step(i)
+        at = np.array(heads)
+        for j in (3, 2, 1, 0):
+            both = np.empty((len(at), 2), np.int64)
+            both[:, 0] = at
+            jumps[j].take(at, out=both[:, 1])
+            at = both.reshape(-1)
         at = at[:count]
         if at[-1] >= n or int(ones[at[-1]]) + k >= 8 * len(self.data):
             raise FlacError("the stream ends within a residual")
-        stop = ones[at]
-        start = np.empty(count, np.int32)
-        start[0], start[1:] = self.at, stop[:-1] + (1 + k)
-        u = (stop - start).astype(np.int64)
+        stop = ones.take(at)
+        u = stop.copy()
+        u[0] -= self.at
+        u[1:] -= stop[:-1] + (1 + k)
         for j in range(1, k + 1):
-            u = (u << 1) | self.bits[stop + j]
+            u <<= 1
+            u |= self.bits.take(stop + j)
         self.at = int(stop[-1]) + 1 + k
         return (u >> 1) ^ -(u & 1)
 
