@@ -32,7 +32,7 @@ from otspark.llm.common import text_of, written
 #: Fingerprints that the tree over the shards is built from, at most (a bounded, seeded sample of the distinct ones).
 SAMPLE = 4096
 #: Distinct fingerprints that a shard shall hold.
-SHARD = 6000
+SHARD = 20000
 #: Below this many points a node of a shard's own tree is searched as a whole.
 LEAF = 192
 
@@ -95,27 +95,29 @@ def top_tree(sample: np.ndarray, shards: int, seed: int):
     return number(tree)
 
 
-def dealt(points: np.ndarray, tree, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, shard and whether it is the point's home, for every shard that the triangle bound leaves open."""
-    rows, shards, homes = [], [], []
-    waiting = [(tree, np.arange(len(points)), np.ones(len(points), bool))]
+def dealt(points: np.ndarray, tree, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and shards: each point's own, and those beyond a boundary that it lies within the radius of.
+
+    Two points within the radius have distances from a vantage that differ by no more than it. If a cut parts them, the
+    near one lies within the radius of the cut and goes to the far side too: so both always meet in some shard.
+    """
+    rows, shards = [], []
+    waiting = [(tree, np.arange(len(points)))]
     while waiting:
-        node, at, home = waiting.pop()
+        node, at = waiting.pop()
         if not len(at):
             continue
         if not isinstance(node, tuple):
             rows.append(at)
             shards.append(np.full(len(at), node, np.int32))
-            homes.append(home)
             continue
         vantage, cut, near, far = node
         d = distances(points[at], vantage)
-        inside, outside = d <= cut + radius, d > cut - radius
-        waiting.append((near, at[inside], home[inside] & (d[inside] <= cut)))
-        waiting.append((far, at[outside], home[outside] & (d[outside] > cut)))
+        waiting.append((near, at[d <= cut]))
+        waiting.append((far, at[d > cut - radius]))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
-    return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(rows), np.concatenate(shards)
 
 
 class Forest:
@@ -137,27 +139,24 @@ class Forest:
         return a != b
 
 
-def linked(points: np.ndarray, home: np.ndarray, radius: int, seed: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links between home points and all points of a shard, by a vantage-point tree."""
+def linked(points: np.ndarray, radius: int, seed: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the points of a shard, by vantage-point cuts down to small leaves."""
     rng = np.random.default_rng(seed)
-    own = np.flatnonzero(home)
     forest, out = Forest(len(points)), []
-    waiting = [(grow(points, own, LEAF, 64, rng), np.arange(len(points)))]
+    waiting = [np.arange(len(points))]
     while waiting:
-        node, at = waiting.pop()
-        if not len(at):
-            continue
-        if isinstance(node, tuple):
-            vantage, cut, near, far = node
-            d = distances(points[at], vantage)
-            waiting += [(near, at[d <= cut + radius]), (far, at[d > cut - radius])]
-            continue
-        if not len(node):
-            continue
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
-            q, p = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[node][None, :]) <= radius)
-            a, b = part[q], node[p]
+        at = waiting.pop()
+        if len(at) > LEAF:
+            d = distances(points[at], points[rng.choice(at)])
+            cut = int(np.median(d))
+            near, far = at[d <= cut], at[d > cut - radius]
+            if max(len(near), len(far)) < 0.9 * len(at):
+                waiting += [near, far]
+                continue
+        for i in range(0, len(at), 512):
+            part = at[i : i + 512]
+            q, p = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[at[i:]][None, :]) <= radius)
+            a, b = part[q], at[i + p]
             for x, y in zip(a[a != b].tolist(), b[a != b].tolist()):
                 if forest.join(x, y):
                     out.append((x, y))
@@ -179,16 +178,16 @@ def links(distinct: DataFrame, *, radius: int = 2, seed: int = 7) -> DataFrame:
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             points = b.fp.to_numpy(np.int64).view(np.uint64)
-            rows, shards, homes = dealt(points, tree.value, radius)
-            yield pd.DataFrame({"shard": shards, "fp": points[rows].view(np.int64), "home": homes})
+            rows, shards = dealt(points, tree.value, radius)
+            yield pd.DataFrame({"shard": shards, "fp": points[rows].view(np.int64)})
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
         points = b.fp.to_numpy(np.int64).view(np.uint64)
-        found = linked(points, b.home.to_numpy(bool), radius, seed)
+        found = linked(points, radius, seed)
         ends = points[np.array(found, np.int64).reshape(-1, 2)].view(np.int64)
         return pd.DataFrame({"a": ends.min(1), "b": ends.max(1)})
 
-    shards = distinct.mapInPandas(deal, "shard int, fp long, home boolean")
+    shards = distinct.mapInPandas(deal, "shard int, fp long")
     return shards.groupBy("shard").applyInPandas(search, "a long, b long")
 
 

@@ -116,3 +116,17 @@ def mixed(
     run = F.sequence(F.floor(F.col("_from") / b), F.floor((end - 1) / b))
     taken = F.when((F.col("size") > 0) & F.col("_quota").isNotNull(), F.aggregate(run, F.lit(0).cast("long"), lambda got, j: got + part(j))).otherwise(F.lit(0).cast("long"))
     return at.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def selected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of which the mix takes any words, with size, source_size, target and taken (all columns stay).
+
+    Rows alike in id, text and source are one share each: they are told apart by a number among their like.
+    """
+    key = F.xxhash64(docs[id_col], text_of(docs, text_col), docs[options.get("source_col", "source")])
+    alike = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    share = mixed(docs.withColumn("_id2", key), text_col=text_col, id_col="_id2", **options).withColumnRenamed("doc_id", "_key")
+    share = share.withColumn("_nth", alike).where("taken > 0").select(*[F.col(c).alias(f"_m_{c}") if c[0] != "_" else F.col(c) for c in share.columns], "_nth")
+    rows = docs.withColumn("_key", key).withColumn("_nth", alike).join(share, ["_key", "_nth"])
+    added = ["size", "source_size", "target", "taken"]
+    return rows.select(*[c for c in docs.columns if c not in added], *[F.col(f"_m_{c}").alias(c) for c in added])

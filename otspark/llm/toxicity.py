@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from otspark.llm.chain_crf import marginals, step, trained
 from otspark.llm.common import crc_mod, text_of
 
 #: Documents of each label that the model is fitted on, at most.
@@ -61,14 +62,6 @@ class Model:
         self.weights, self.transitions, self.fit = weights, transitions, fit
 
 
-def step(weights: np.ndarray, seen: np.ndarray, at: np.ndarray, by: np.ndarray, rate: float) -> None:
-    """Adaptive gradient ascent on some of the weights."""
-    which, inverse = np.unique(at, return_inverse=True)
-    g = np.bincount(inverse.reshape(-1), by.reshape(-1), len(which)) - 1e-5 * weights[which]
-    seen[which] += g * g
-    weights[which] += rate * g / np.sqrt(seen[which])
-
-
 def word_model(docs: list[np.ndarray], toxic: np.ndarray, feats: np.ndarray, epochs: int = 6) -> np.ndarray:
     """Weights by the noisy-or likelihood; docs hold the distinct word types of each text."""
     seen = np.full(HASHED, 1e-2)
@@ -94,78 +87,6 @@ def word_model(docs: list[np.ndarray], toxic: np.ndarray, feats: np.ndarray, epo
     return weights
 
 
-def marginals(emission: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(toxic) of each word of the chains that lie end to end, expected transitions (2x2) and log Z; two tags.
-
-    emission: score of the toxic tag over the clean one. Chains of like length run side by side.
-    """
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    out, pairs, log_z = np.zeros(len(emission)), np.zeros((2, 2)), np.zeros(len(lengths))
-    t = np.exp(transitions)
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    at = 0
-    while at < len(order):
-        longest = lengths[order[at]] * 5 // 4 + 2  # chains up to this length share a batch
-        end = min(at + max(1, 400_000 // int(longest)), int(np.searchsorted(lengths[order], longest, side="right")))
-        end = max(end, at + 1)
-        which = order[at:end]
-        at = end
-        n, size = len(which), int(lengths[which].max())
-        index = starts[which][None, :] + np.minimum(np.arange(size)[:, None], (lengths[which] - 1)[None, :])
-        inside = np.arange(size)[:, None] < lengths[which][None, :]
-        e = np.exp(np.clip(emission[index], -40, 40))
-        a0, a1, scale = np.empty((size, n)), np.empty((size, n)), np.ones((size, n))
-        z = 1 + e[0]
-        a0[0], a1[0], scale[0] = 1 / z, e[0] / z, z
-        for i in range(1, size):
-            u0 = a0[i - 1] * t[0, 0] + a1[i - 1] * t[1, 0]
-            u1 = (a0[i - 1] * t[0, 1] + a1[i - 1] * t[1, 1]) * e[i]
-            z = u0 + u1
-            a0[i], a1[i], scale[i] = u0 / z, u1 / z, z
-        b0, b1 = np.ones(n), np.ones(n)
-        p = np.empty((size, n))
-        p[size - 1] = a1[size - 1]
-        for i in range(size - 2, -1, -1):
-            go = inside[i + 1]
-            f0, f1 = b0 / scale[i + 1], b1 * e[i + 1] / scale[i + 1]
-            if pairs is not None:
-                pairs += np.array([[(a0[i] * t[0, 0] * f0)[go].sum(), (a0[i] * t[0, 1] * f1)[go].sum()], [(a1[i] * t[1, 0] * f0)[go].sum(), (a1[i] * t[1, 1] * f1)[go].sum()]])
-            b0, b1 = np.where(go, t[0, 0] * f0 + t[0, 1] * f1, 1.0), np.where(go, t[1, 0] * f0 + t[1, 1] * f1, 1.0)
-            w = a1[i] * b1
-            p[i] = w / (w + a0[i] * b0)
-        out[index[inside]] = p[inside]
-        log_z[which] = np.where(inside, np.log(scale), 0).sum(0)
-    return out, pairs, log_z
-
-
-def train_field(types: np.ndarray, lengths: np.ndarray, tags: np.ndarray, feats: np.ndarray, epochs: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and transitions by likelihood, over batches of chains."""
-    weights, seen = np.zeros(HASHED), np.full(HASHED, 1e-1)
-    transitions, seen_t = np.zeros((2, 2)), np.full((2, 2), 1.0)
-    ends = np.cumsum(lengths)
-    rng = np.random.default_rng(2)
-    chains = [np.arange(e - n, e) for e, n in zip(ends, lengths)]
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(chains)), max(1, len(chains) // 400)):
-            at = np.concatenate([chains[i] for i in part])
-            y, n = tags[at], lengths[part]
-            f = feats[types[at]]
-            p, pairs, _ = marginals(weights[f].sum(1), n, transitions)
-            inner = np.ones(len(at), bool)
-            inner[np.cumsum(n)[:-1]] = False
-            inner[0] = False
-            later = np.flatnonzero(inner)
-            true = np.bincount(2 * y[later - 1] + y[later], minlength=4).reshape(2, 2)
-            g = y - p
-            near = np.abs(g) > 1e-4
-            step(weights, seen, f[near], np.repeat(g[near], f.shape[1]), 0.5)
-            gt = (true - pairs) / len(part) - 1e-3 * transitions
-            seen_t += gt * gt
-            transitions += 0.3 * gt / np.sqrt(seen_t)
-    return weights, transitions
-
-
 def summary(p: np.ndarray) -> tuple[float, float, float]:
     """What the score of a document is made of: one, log-odds that any word is toxic, expected toxic words."""
     none = float(np.log1p(-np.minimum(p, 1 - 1e-9)).sum()) if len(p) else 0.0
@@ -209,7 +130,7 @@ def train(texts: list[str], toxic: np.ndarray, positive: float) -> Model:
     rng = np.random.default_rng(3)
     plain = rng.permutation(np.flatnonzero(~marked))[: max(3000, 3 * int(marked.sum()))]
     use = np.concatenate([np.flatnonzero(marked), plain])[:16000]
-    weights, transitions = train_field(np.concatenate([chains[i] for i in use]), np.array([len(chains[i]) for i in use]), np.concatenate([tags[i] for i in use]), feats)
+    weights, transitions = trained(feats[np.concatenate([chains[i] for i in use])], np.array([len(chains[i]) for i in use]), np.concatenate([tags[i] for i in use]), HASHED)
     model = Model(weights, transitions, np.zeros(3))
     x = np.array([summary(p) for p in tagger(model)(texts)])
     ratio = float(np.mean(toxic))
