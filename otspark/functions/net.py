@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,16 +33,17 @@ def _within(n: Column, block: tuple[str, int]) -> Column:
     return n.between(first, first + (1 << (32 - block[1])) - 1)
 
 
+def _of_number(ip: Column, holds) -> Column:
+    """holds(number) with the number worked out once; false for anything but an address."""
+    return F.coalesce(F.element_at(F.transform(F.array(ip_number(ip)), holds), 1), F.lit(False))
+
+
 def is_private(ip: Column) -> Column:
-    n, out = ip_number(ip), F.lit(False)
-    for block in PRIVATE:
-        out = out | _within(n, block)
-    return F.coalesce(out & ~ip.isin(*NOT_PRIVATE), F.lit(False))
+    return _of_number(ip, lambda n: reduce(or_, (_within(n, b) for b in PRIVATE))) & ~F.coalesce(ip.isin(*NOT_PRIVATE), F.lit(False))
 
 
 def is_public(ip: Column) -> Column:
-    n = ip_number(ip)
-    return F.coalesce(n.isNotNull() & ~is_private(ip) & ~_within(n, SHARED), F.lit(False))
+    return _of_number(ip, lambda n: n.isNotNull() & ~_within(n, SHARED)) & ~is_private(ip)
 
 
 def private_sql(ip: str) -> str:

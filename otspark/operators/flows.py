@@ -8,11 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from otspark.functions.net import flow_id
+from otspark.functions.dims import ICS_APP_PORTS, IT_EDGE
+from otspark.functions.net import flow_id, is_private, is_public
 from otspark.sources.packets import FLOW, ORDER
 
 #: Gaps of an hour or more are no inter-packet times.
 LONGEST_GAP_US = 3_600_000_000
+#: Packet numbers that one running count spans.
+BLOCK = 100_000
 
 
 def with_gaps(packets: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def flow_build(packets: DataFrame) -> DataFrame:
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
     per = lambda c: F.when(seconds > 0, F.col(c) / seconds).otherwise(0.0)
     return agg.select(
-        flow_id(*(F.col(c) for c in FLOW)).alias("flow_id"), *FLOW, "packet_count", "byte_count", "start_us", "end_us",
+        flow_id(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"), F.col("transport")).alias("flow_id"), *FLOW, "packet_count", "byte_count", "start_us", "end_us",
         seconds.alias("duration_seconds"), per("packet_count").alias("packets_per_second"), per("byte_count").alias("bytes_per_second"),
         (F.col("byte_count") / F.col("packet_count")).alias("avg_packet_size"),
         deviation(F.col("packet_count"), F.col("byte_count"), F.col("_l2")).alias("packet_length_std"),
@@ -123,3 +126,46 @@ def timing_irregular(flows: DataFrame) -> DataFrame:
 def size_dispersion(flows: DataFrame) -> DataFrame:
     """Flows whose packet lengths vary by over 0.85 times their mean."""
     return flows.where((F.col("packet_count") > 30) & (F.col("avg_packet_size") > 0)).withColumn("cv", F.col("packet_length_std") / F.col("avg_packet_size")).where(F.col("cv") > 0.85)
+
+
+def rare_function_codes(frames: DataFrame) -> DataFrame:
+    """Frames whose code is rare so far: under three times and under a thousandth of its protocol's frames, from the hundredth on.
+
+    A code's first two frames are few, so the running total is taken for them alone: frames are counted by blocks of
+    processing order, and a frame's total is that of the blocks before and of its place in its own block.
+    """
+    by_code = Window.partitionBy("protocol", "function_code").orderBy(*ORDER)
+    early = frames.withColumn("_times", F.row_number().over(by_code)).where("_times < 3")
+    place = Window.partitionBy("protocol", "file_idx", "_block").orderBy("packet_number")
+    blocks = frames.withColumn("_block", F.floor(F.col("packet_number") / BLOCK))
+    numbered = blocks.withColumn("_in", F.count("*").over(place)).select("protocol", *ORDER, "_block", "_in")
+    sums = blocks.groupBy("protocol", "file_idx", "_block").agg(F.count("*").alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("protocol").orderBy("file_idx", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = numbered.join(early.select("protocol", *ORDER).distinct(), ["protocol", *ORDER], "left_semi").join(before, ["protocol", "file_idx", "_block"])
+    totals = totals.select("protocol", *ORDER, (F.col("_before") + F.col("_in")).alias("_total"))
+    rare = early.join(totals, ["protocol", *ORDER]).where((F.col("_total") >= 100) & (F.col("_times") / F.col("_total") < 0.001))
+    return rare.withColumn("severity", F.when(F.col("is_write_operation"), "MEDIUM").otherwise("LOW"))
+
+
+def multi_target_sources(flows: DataFrame, least: int = 4) -> DataFrame:
+    """Sources with at least so many peers on the ports of industrial protocols."""
+    return flows.where(F.col("dst_port").isin(*ICS_APP_PORTS)).groupBy("src_ip").agg(F.countDistinct("dst_ip").alias("targets")).where(F.col("targets") >= least)
+
+
+def it_edge_flows(flows: DataFrame) -> DataFrame:
+    """Flows on ports of office services, with port and label (the destination's before the source's)."""
+    names = F.create_map(*[F.lit(x) for pair in IT_EDGE.items() for x in pair])
+    of = lambda c: F.when(F.col(c).isin(*IT_EDGE), F.col(c))
+    out = flows.withColumn("port", F.coalesce(of("dst_port"), of("src_port"))).where("port is not null")
+    return out.withColumn("label", F.try_element_at(names, "port"))
+
+
+def cross_boundary(flows: DataFrame) -> DataFrame:
+    """Flows between a private and a public address."""
+    a, b = F.col("src_ip"), F.col("dst_ip")
+    return flows.where((is_private(a) & is_public(b)) | (is_public(a) & is_private(b)))
+
+
+def new_edges(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Pairs of addresses that are in the second and not in the first."""
+    return now.select("src_ip", "dst_ip").distinct().join(before.select("src_ip", "dst_ip").distinct(), ["src_ip", "dst_ip"], "left_anti")

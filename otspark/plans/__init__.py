@@ -1,0 +1 @@
+from otspark.plans import flow_queries, frame_queries  # noqa: F401  they register their queries
