@@ -33,6 +33,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole(df: DataFrame, name: str = "_doc") -> Column:
+    """All columns of a row as one struct: what an operator adds beside it clashes with none of them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

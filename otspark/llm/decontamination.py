@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otspark.llm.common import text_of, written
+from otspark.llm.common import text_of, whole, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -141,4 +141,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_c
     bad = written(contaminated(docs, benchmark, text_col=text_col, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_bad")).distinct())
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return docs.withColumn("_key", F.xxhash64(docs[id_col], text_of(docs, text_col))).join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad")), "left_anti").select(*docs.columns)
+    rows = docs.select(whole(docs), docs[id_col].alias("_of"), F.xxhash64(docs[id_col], text_of(docs, text_col)).alias("_key"))
+    return rows.join(bad, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_bad")), "left_anti").select("_doc.*")

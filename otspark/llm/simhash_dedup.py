@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from otspark.llm.common import text_of, written
+from otspark.llm.common import text_of, whole, written
 
 #: Fingerprints that the tree over the shards is built from, at most (a bounded, seeded sample of the distinct ones).
 SAMPLE = 4096
@@ -232,6 +232,6 @@ def deduplicated(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     found = simhash_components(docs, text_col=text_col, id_col=id_col, size=size, radius=radius)
     name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias("_kept")).distinct()
-    rows = docs.withColumn("_kept", name(docs[id_col])).join(keep, "_kept", "left_semi")
+    rows = docs.select(whole(docs), name(docs[id_col]).alias("_kept")).join(keep, "_kept", "left_semi")
     first = F.row_number().over(Window.partitionBy("_kept").orderBy("_kept"))  # the join has dealt and sorted them so
-    return rows.withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    return rows.withColumn("_row", first).where("_row = 1").select("_doc.*")

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from otspark.llm.common import WORD_SPLIT, text_of, written
+from otspark.llm.common import text_of, whole, written
 
 #: Words of a block.
 BLOCK = 16
@@ -123,10 +123,12 @@ def selected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows alike in id, text and source are one share each: they are told apart by a number among their like.
     """
-    key = F.xxhash64(docs[id_col], text_of(docs, text_col), docs[options.get("source_col", "source")])
-    alike = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    share = mixed(docs.withColumn("_id2", key), text_col=text_col, id_col="_id2", **options).withColumnRenamed("doc_id", "_key")
-    share = share.withColumn("_nth", alike).where("taken > 0").select(*[F.col(c).alias(f"_m_{c}") if c[0] != "_" else F.col(c) for c in share.columns], "_nth")
-    rows = docs.withColumn("_key", key).withColumn("_nth", alike).join(share, ["_key", "_nth"])
+    source = options.pop("source_col", "source")
+    key = F.xxhash64(docs[id_col], text_of(docs, text_col), docs[source])
+    numbered = Window.partitionBy("_key").orderBy("_key")
+    keyed = docs.select(whole(docs), key.alias("_key"), docs[source].alias("_source"), docs[text_col].alias("_text"))
+    share = mixed(keyed, text_col="_text", id_col="_key", source_col="_source", **options).withColumnRenamed("doc_id", "_key")
+    share = share.withColumn("_nth", F.row_number().over(numbered)).where("taken > 0")
+    rows = keyed.select("_doc", "_key").withColumn("_nth", F.row_number().over(numbered)).join(share, ["_key", "_nth"])
     added = ["size", "source_size", "target", "taken"]
-    return rows.select(*[c for c in docs.columns if c not in added], *[F.col(f"_m_{c}").alias(c) for c in added])
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in added], *added)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from otspark.llm.chain_crf import marginals, step, trained
-from otspark.llm.common import crc_mod, text_of
+from otspark.llm.common import crc_mod, text_of, whole
 
 #: Documents of each label that the model is fitted on, at most.
 SAMPLE = 1500
@@ -243,4 +243,4 @@ def accepted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_c
     """The documents that are not rejected (score under a half), all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, id_col=id_col))
     scored = scorer(shared)
-    return docs.withColumn("_s", scored(text_of(docs, text_col))).where("_s.score < 0.5").select(*docs.columns)
+    return docs.select(whole(docs), scored(text_of(docs, text_col)).alias("_s")).where("_s.score < 0.5").select("_doc.*")
