@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from otspark.functions.dims import ICS_APP_PORTS, IT_EDGE
+from otspark.functions.dims import ENGINEERING_ROLES, ICS_APP_PORTS, IT_EDGE
 from otspark.functions.net import flow_id, is_private, is_public
 from otspark.sources.packets import FLOW, ORDER
 
@@ -148,8 +148,23 @@ def rare_function_codes(frames: DataFrame) -> DataFrame:
 
 
 def multi_target_sources(flows: DataFrame, least: int = 4) -> DataFrame:
-    """Sources with at least so many peers on the ports of industrial protocols."""
-    return flows.where(F.col("dst_port").isin(*ICS_APP_PORTS)).groupBy("src_ip").agg(F.countDistinct("dst_ip").alias("targets")).where(F.col("targets") >= least)
+    """Addresses with at least so many peers on the ports of industrial protocols: destinations they ask, and sources that answer them."""
+    asks = flows.where(F.col("dst_port").isin(*ICS_APP_PORTS)).select("src_ip", "dst_ip")
+    answered = flows.where(F.col("src_port").isin(*ICS_APP_PORTS)).select(F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"))
+    return asks.union(answered).groupBy("src_ip").agg(F.countDistinct("dst_ip").alias("targets")).where(F.col("targets") >= least)
+
+
+def unauthorized_reads(flows: DataFrame, assets: DataFrame) -> DataFrame:
+    """Modbus flows that read (codes 3, 4) and never write, from an address whose role is none of engineering."""
+    reads = F.array_contains("ics_protocols", "Modbus") & (F.size("modbus_write_fcs_seen") == 0) & F.arrays_overlap("function_codes_seen", F.array(F.lit(3), F.lit(4)))
+    told = flows.where(reads).join(assets.select(F.col("ip_address").alias("src_ip"), F.col("role").alias("src_role")), "src_ip", "left")
+    return told.fillna({"src_role": "UNKNOWN"}).where(~F.col("src_role").isin(*ENGINEERING_ROLES))
+
+
+def write_meaning(codes: str = "modbus_write_fcs_seen") -> Column:
+    """What the Modbus writes of a flow may do, code by code."""
+    kind = lambda c: F.when(c.isin(5, 6, 15, 16), " write (coil/register)").when(c.isin(20, 21), " file record").when(c.isin(22, 23), " mask or read-write registers").otherwise(" write family")
+    return F.array_join(F.transform(codes, lambda c: F.concat(F.lit("FC"), c.cast("string"), kind(c))), "; ")
 
 
 def it_edge_flows(flows: DataFrame) -> DataFrame:
