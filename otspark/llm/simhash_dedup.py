@@ -13,6 +13,7 @@ distinct fingerprints; copies hang on their fingerprint and are never paired.
 Cases: null and empty texts have fingerprint zero, linked like any other;
 fewer than three words make one shingle; repeated rows share their component;
 a null id stays null and is never the smallest unless its group has no other;
+rows that share an id, or have none, are rows of their own where one of a group is kept;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from otspark.llm.common import text_of, whole, written
@@ -50,15 +51,15 @@ def fingerprint(text: str, size: int = 3) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 3, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and its fingerprint as a signed long; columns to keep beside them."""
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(docs[id_col].alias("doc_id"), of(text_of(docs, text_col)).alias("fp"))
+    return docs.select(docs[id_col].alias("doc_id"), of(text_of(docs, text_col)).alias("fp"), *beside)
 
 
 def distances(points: np.ndarray, to: int | np.ndarray) -> np.ndarray:
@@ -227,11 +228,21 @@ def simhash_components(docs: DataFrame, *, text_col: str = "text", id_col: str =
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 3, radius: int = 2) -> DataFrame:
-    """The documents with one of each component: the one with the smallest id (of rows with one id, one)."""
-    found = simhash_components(docs, text_col=text_col, id_col=id_col, size=size, radius=radius)
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias("_kept")).distinct()
-    rows = docs.select(whole(docs), name(docs[id_col]).alias("_kept")).join(keep, "_kept", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy("_kept"))  # the join has dealt and sorted them so
-    return rows.withColumn("_row", first).where("_row = 1").select("_doc.*")
+def deduplicated(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 3, radius: int = 2, seed: int = 7) -> DataFrame:
+    """The documents with one row of each component: the one with the smallest id, null last.
+
+    Rows of one id go by a hash of their columns, rows alike in those by a number that is written beside them: so every
+    row has a key of its own, unlike rows without an id or with the same one do not stand for each other, and reruns keep
+    the same rows.
+    """
+    numbered = docs.select(whole(docs), F.monotonically_increasing_id().alias("_n"), text_of(docs, text_col).alias("_text"))
+    prints = fingerprints(numbered, text_col="_text", id_col="_n", size=size, beside=("_doc",))
+    rows = written(prints.withColumnRenamed("doc_id", "_n"))
+    key = F.col("_doc").getField(id_col)
+    hashed = [F.col("_doc").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(key.isNull().alias("none"), key.alias("id"), F.xxhash64(*hashed).alias("h"), F.col("_n").alias("n"))
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    roots = components(links(rows.select("fp").distinct(), radius=radius, seed=seed))
+    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
+    keep = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.n").alias("_n"))
+    return rows.join(keep, "_n", "left_semi").select("_doc.*")

@@ -73,6 +73,19 @@ def test_deduplicated(awkward, none):
     assert simhash_dedup.deduplicated(none).count() == 0
 
 
+def test_deduplicated_keeps_unlike_rows_of_one_id(spark, awkward):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(9)]
+    rows = [(None, t, None) for t in texts[:4] * 2] + [(3, t, "b") for t in texts[4:7]] + [(3, texts[4], "a"), (4, texts[7], "a"), (None, texts[7], "a"), (2, texts[8], "a"), (1, texts[8], "a")]
+    want = [(None, t) for t in texts[:4]] + [(3, t) for t in texts[4:7]] + [(4, texts[7]), (1, texts[8])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [simhash_dedup.deduplicated(df.repartition(n)).collect() for n in (1, 5)]
+    assert sorted((r.doc_id, r.text) for r in kept[0] if r.doc_id) == sorted(w for w in want if w[0])
+    assert sorted(r.text for r in kept[0] if not r.doc_id) == sorted(texts[:4])
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+    assert [r.text for r in simhash_dedup.deduplicated(awkward).collect() if r.doc_id is None] == ["row without id, mail a.b@example.org and 192.168.1.1"]
+
+
 def words_of(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
