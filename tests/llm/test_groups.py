@@ -196,6 +196,38 @@ def test_shared_passages(spark):
     assert substring_dedup.shared_passages(df.limit(0)).count() == 0
 
 
+def test_chain_takes_a_near_predecessor():
+    """A long passage too far behind does not hide the near half of a passage with four words put in."""
+    parts = [(0, 300, 0), (360, 390, 0), (394, 424, 4)]
+    assert sorted(substring_dedup.chains(parts)) == [parts[:1], parts[1:]]
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        starts, diagonals, lengths = rng.integers(0, 400, 12), rng.integers(-6, 7, 12), rng.integers(3, 120, 12)
+        parts = sorted({(int(x), int(x + n), int(d)) for x, n, d in zip(starts, lengths, diagonals)})
+        best = {}
+        for x, e, d in parts:
+            before = [best[q] - 0.25 * (x - q[1] + x - d - q[1] + q[2]) for q in best if 0 <= x - q[1] <= 48 and 0 <= x - d - q[1] + q[2] <= 48]
+            best[x, e, d] = e - x + max([0.0, *before])
+        first = substring_dedup.chains(parts)[0]
+        score = sum(e - x for x, e, _ in first) - 0.25 * sum(2 * q[0] - q[2] - 2 * p[1] + p[2] for p, q in zip(first, first[1:]))
+        assert abs(score - max(best.values())) < 1e-9
+
+
+def test_aligned_keeps_the_like_part_of_an_unlike_chain():
+    u = np.arange(140, dtype=np.uint32)
+    v = np.where((u < 60) | (u >= 100), u, u + 1000).astype(np.uint32)
+    assert substring_dedup.aligned(u, v, 0, 0, [0], 50, 0.8) == [(0, 60, 0, 60, 60)]
+
+
+def test_shared_passages_behind_a_long_one(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    long, left, right = some(300), some(30), some(30)
+    texts = [(1, " ".join(long + some(60) + left + some(4) + right)), (2, " ".join(long + some(60) + left + right))]
+    got = substring_dedup.shared_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(r.equal_words for r in got) == [60, 300]
+
+
 def test_shared_passages_awkward(awkward):
     assert {r.doc_id for r in substring_dedup.shared_passages(awkward).collect()} <= {5, 6, 9}
 
