@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType
 
 IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
 
@@ -76,26 +79,39 @@ def flow_id(src: Column, sport: Column, dst: Column, dport: Column, transport: C
 # ---- payload bytes; positions from 0 ----
 
 
+@F.arrow_udf(ArrayType(ByteType()))
+def _listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same buffers as lists of bytes: nothing is copied or looked at."""
+    for b in batches:
+        valid, offsets, data = (b if b.type == pa.binary() else b.cast(pa.binary())).buffers()
+        values = pa.Array.from_buffers(pa.int8(), data.size if data is not None else 0, [None, data if data is not None else pa.py_buffer(b"")])
+        yield pa.Array.from_buffers(pa.list_(pa.int8()), len(b), [valid, offsets], offset=b.offset, children=[values])
+
+
+def byte_array(payload: Column) -> Column:
+    """The bytes of a binary as an array, to be asked by u8() and the like; worked out once for all that look into it."""
+    return _listed(F.coalesce(payload, F.lit(b"")))
+
+
 def size(payload: Column) -> Column:
     return F.coalesce(F.length(payload), F.lit(0))
 
 
-def u8(payload: Column, at: int | Column) -> Column:
-    """Byte at a position; null beyond the end."""
-    start = F.lit(at) if isinstance(at, int) else at
-    return F.conv(F.nullif(F.hex(payload.substr(start + 1, F.lit(1))), F.lit("")), 16, 10).cast("int")
+def u8(array: Column, at: int | Column) -> Column:
+    """Byte at a position of a byte_array; null beyond the end."""
+    return F.get(array, F.lit(at) if isinstance(at, int) else at).cast("int").bitwiseAND(255)
 
 
-def u16(payload: Column, at: int | Column) -> Column:
-    return u8(payload, at) * 256 + u8(payload, at + 1)
+def u16(array: Column, at: int | Column) -> Column:
+    return u8(array, at) * 256 + u8(array, at + 1)
 
 
-def u16le(payload: Column, at: int | Column) -> Column:
-    return u8(payload, at) + u8(payload, at + 1) * 256
+def u16le(array: Column, at: int | Column) -> Column:
+    return u8(array, at) + u8(array, at + 1) * 256
 
 
-def u32le(payload: Column, at: int | Column) -> Column:
-    return u16le(payload, at).cast("long") + u16le(payload, at + 2).cast("long") * 65536
+def u32le(array: Column, at: int | Column) -> Column:
+    return u16le(array, at).cast("long") + u16le(array, at + 2).cast("long") * 65536
 
 
 def begins(payload: Column, hex_: str) -> Column:

@@ -6,9 +6,6 @@ binaryFile source, so one file is at most 2 GB: longer captures are to be writte
 
 Packet numbers count from 1 in each file, and number what cannot be decoded too. A file that is no capture gives one row
 with `error` and no packet; a cut-off last packet ends its file. Files of no bytes give no row: Spark's file sources leave them out.
-
-Write packets() as a table, or checkpoint it, before frames are decoded from it: all decoders over undecoded records in one
-plan are more than the optimizer can take.
 """
 
 from __future__ import annotations
@@ -16,17 +13,21 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from otspark.functions.net import u8, u16
+from otspark.functions.net import byte_array, u8, u16
 
 SCHEMA = "pcap_file string, path string, packet_number bigint, ts_us bigint, linktype int, length bigint, raw binary, error string"
 # fixed values: first four bytes of a file, byte order and units of a second of its times
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 PCAPNG = b"\x0a\x0d\x0d\x0a"
+#: Bytes of a packet that hold all headers: link, tags, IPv4 with options or IPv6, TCP with options.
+HEADERS = 192
 #: Rows of an Arrow batch, at most.
 BATCH = 4096
 
@@ -101,12 +102,12 @@ def rows_of(path: str, content: bytes | None) -> Iterator[tuple]:
         yield name, path, n, ts, linktype, length, raw, None
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     types = [("pcap_file", pa.string()), ("path", pa.string()), ("packet_number", pa.int64()), ("ts_us", pa.int64()), ("linktype", pa.int32()), ("length", pa.int64()), ("raw", pa.binary()), ("error", pa.string())]
     schema, held = pa.schema(types), []
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            for row in rows_of(path.as_py(), content.as_py()):
+            for row in islice(rows_of(path.as_py(), content.as_py()), most or None):
                 held.append(row)
                 if len(held) == BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), types)], schema=schema)
@@ -116,10 +117,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def records(spark: SparkSession, path: str | list[str], most: int = 0) -> DataFrame:
-    """The packets of capture files; `most` keeps the first so many of each file (0: all)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInArrow(_cut, SCHEMA)
-    return out.where(F.col("packet_number").isNull() | (F.col("packet_number") <= most)) if most else out
+    """The packets of capture files; `most` keeps the first so many of each file (0: all), and cuts no more of it."""
+    files = spark.read.format("binaryFile").load(path)
+    place = Window.orderBy("path")  # one row a file, of which only the path is read
+    index = files.select("path").withColumn("file_idx", F.row_number().over(place) - 1)
+    return files.select("path", "content").mapInArrow(partial(_cut, most=most), SCHEMA).join(F.broadcast(index), "path")
 
 
 def errors(found: DataFrame) -> DataFrame:
@@ -134,36 +136,35 @@ def evidence(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def packets(found: DataFrame) -> DataFrame:
     """Decoded packets: addresses, ports, flags and payload; null where a layer is missing. file_idx follows the order of the paths."""
-    raw, link = F.col("raw"), F.col("linktype")
-    files = found.select("path").distinct().withColumn("file_idx", F.row_number().over(Window.orderBy("path")) - 1)  # one row a file
-    tagged = (link == ETHERNET) & (u16(raw, 12) == 0x8100)
-    told = found.where("packet_number is not null").join(F.broadcast(files), "path").withColumn("eth_type", F.when(tagged, u16(raw, 16)).when(link == ETHERNET, u16(raw, 12)).when(link == COOKED, u16(raw, 14)))
+    raw, octets, link = F.col("raw"), F.col("_octets"), F.col("linktype")
+    tagged = (link == ETHERNET) & (u16(octets, 12) == 0x8100)
+    told = found.where("packet_number is not null").withColumn("_octets", byte_array(F.substring(raw, 1, HEADERS))).withColumn("eth_type", F.when(tagged, u16(octets, 16)).when(link == ETHERNET, u16(octets, 12)).when(link == COOKED, u16(octets, 14)))
     start = F.when(tagged, 18).when(link == ETHERNET, 14).when(link == COOKED, 16).when(link.isin(*RAW), 0)
-    told = told.withColumn("_l3", start).withColumn("_v", F.shiftright(u8(raw, F.col("_l3")), 4))
+    told = told.withColumn("_l3", start).withColumn("_v", F.shiftright(u8(octets, F.col("_l3")), 4))
     is_ip = link.isin(*RAW) | F.col("eth_type").isin(0x0800, 0x86DD)
     told = told.withColumn("ip_version", F.when(is_ip & F.col("_v").isin(4, 6), F.col("_v")))
     at, v4 = F.col("_l3"), F.col("ip_version") == 4
-    told = told.withColumn("ip_proto", F.when(v4, u8(raw, at + 9)).when(F.col("ip_version") == 6, u8(raw, at + 6)))
-    told = told.withColumn("_l4", F.when(v4, at + u8(raw, at).bitwiseAND(15) * 4).when(F.col("ip_version") == 6, at + 40))
-    told = told.withColumn("l3_length", F.when(v4, u16(raw, at + 2)).when(F.col("ip_version") == 6, u16(raw, at + 4) + 40))
-    first = v4.isNull() | ~v4 | (u16(raw, at + 6).bitwiseAND(0x1FFF) == 0)  # later fragments have no ports
+    told = told.withColumn("ip_proto", F.when(v4, u8(octets, at + 9)).when(F.col("ip_version") == 6, u8(octets, at + 6)))
+    told = told.withColumn("_l4", F.when(v4, at + u8(octets, at).bitwiseAND(15) * 4).when(F.col("ip_version") == 6, at + 40))
+    told = told.withColumn("l3_length", F.when(v4, u16(octets, at + 2)).when(F.col("ip_version") == 6, u16(octets, at + 4) + 40))
+    first = v4.isNull() | ~v4 | (u16(octets, at + 6).bitwiseAND(0x1FFF) == 0)  # later fragments have no ports
     transport = F.when(first & (F.col("ip_proto") == 6), "TCP").when(first & (F.col("ip_proto") == 17), "UDP")
     told = told.withColumn("transport", transport)
     l4 = F.col("_l4")
-    body = F.when(F.col("transport") == "TCP", l4 + F.shiftright(u8(raw, l4 + 12), 4) * 4).when(F.col("transport") == "UDP", l4 + 8)
+    body = F.when(F.col("transport") == "TCP", l4 + F.shiftright(u8(octets, l4 + 12), 4) * 4).when(F.col("transport") == "UDP", l4 + 8)
     end = F.least(F.length(raw), at + F.col("l3_length"))  # padding of short frames is no payload
     payload = F.when(end > body, F.substring(raw, body + 1, end - body)).otherwise(F.lit(b""))
     mac = lambda i: F.when(link == ETHERNET, F.concat_ws(":", *[F.lower(F.hex(raw.substr(i + k + 1, 1))) for k in range(6)]))
     return told.select(
         "file_idx", "pcap_file", "packet_number", "ts_us", F.timestamp_micros("ts_us").alias("ts"), "length", mac(6).alias("src_mac"), mac(0).alias("dst_mac"), "eth_type", "ip_version",
-        address(raw, at, 12, 8).alias("src_ip"), address(raw, at, 16, 24).alias("dst_ip"), "ip_proto", F.when(v4, u8(raw, at + 8)).when(F.col("ip_version") == 6, u8(raw, at + 7)).alias("ttl"), "l3_length",
-        F.when(F.col("transport").isNotNull(), u16(raw, l4)).alias("src_port"), F.when(F.col("transport").isNotNull(), u16(raw, l4 + 2)).alias("dst_port"), "transport",
-        F.when(F.col("transport") == "TCP", u8(raw, l4 + 13)).alias("tcp_flags"), F.when(F.col("transport").isNotNull(), payload).alias("payload"),
+        address(octets, at, 12, 8).alias("src_ip"), address(octets, at, 16, 24).alias("dst_ip"), "ip_proto", F.when(v4, u8(octets, at + 8)).when(F.col("ip_version") == 6, u8(octets, at + 7)).alias("ttl"), "l3_length",
+        F.when(F.col("transport").isNotNull(), u16(octets, l4)).alias("src_port"), F.when(F.col("transport").isNotNull(), u16(octets, l4 + 2)).alias("dst_port"), "transport",
+        F.when(F.col("transport") == "TCP", u8(octets, l4 + 13)).alias("tcp_flags"), F.when(F.col("transport").isNotNull(), payload).alias("payload"),
     ).withColumn("payload_length", F.coalesce(F.length("payload"), F.lit(0)))
 
 
-def address(raw: Column, l3: Column, v4: int, v6: int) -> Column:
+def address(octets: Column, l3: Column, v4: int, v6: int) -> Column:
     """IPv4 as dotted text; IPv6 as eight groups of hex digits without leading zeros."""
-    four = F.concat_ws(".", *[u8(raw, l3 + v4 + i).cast("string") for i in range(4)])
-    six = F.concat_ws(":", *[F.lower(F.hex(u16(raw, l3 + v6 + 2 * i))) for i in range(8)])
+    four = F.concat_ws(".", *[u8(octets, l3 + v4 + i).cast("string") for i in range(4)])
+    six = F.concat_ws(":", *[F.lower(F.hex(u16(octets, l3 + v6 + 2 * i))) for i in range(8)])
     return F.when(F.col("ip_version") == 4, four).when(F.col("ip_version") == 6, six)
