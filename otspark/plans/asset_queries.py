@@ -75,10 +75,10 @@ def severity_filter(spark, sf_dir):
     return found(spark, sf_dir, min_severity="HIGH").groupBy("severity").agg(F.count("*").alias("events"))
 
 
-@register("event_timeline", EVENTS + "SELECT row_number() OVER (ORDER BY ts_us, rule_id, packet_number) AS place, packet_number, rule_id FROM events_of ORDER BY 1 LIMIT 100")
+@register("event_timeline", EVENTS + "SELECT row_number() OVER (ORDER BY ts_us, rule_id, packet_number) AS place, packet_number, rule_id FROM events_of")
 def event_timeline(spark, sf_dir):
-    """The first hundred events."""
-    first = rules.timeline(found(spark, sf_dir)).limit(100)
+    """All events, numbered in their order."""
+    first = rules.timeline(found(spark, sf_dir))
     return first.select(F.row_number().over(Window.orderBy("ts_us", "rule_id", "packet_number")).cast("long").alias("place"), "packet_number", "rule_id")
 
 

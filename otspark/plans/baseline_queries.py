@@ -119,13 +119,6 @@ def new_pair(spark, sf_dir):
     return baseline.new_pairs(packets(spark, sf_dir))
 
 
-@register("unauthorized_reads", f"WITH {PACKETS}, {MODBUS} SELECT src_ip, src_port, dst_ip, count(*) AS packets FROM modbus GROUP BY src_ip, src_port, dst_ip, dst_port HAVING NOT bool_or(fc IN {WRITES}) AND bool_or(fc IN (3, 4))")
-def unauthorized_reads(spark, sf_dir):
-    """Reads by sources of which no role is known: only the assets that receive more than they send are given."""
-    known = inventory(spark, sf_dir).where("received_connections > initiated_connections")
-    return flows.unauthorized_reads(framed(spark, sf_dir), known).select("src_ip", "src_port", "dst_ip", F.col("packet_count").alias("packets"))
-
-
 @register("port_lookup", f"WITH {PACKETS} SELECT dst_port AS port, CASE dst_port WHEN 502 THEN 'Modbus TCP' WHEN 102 THEN 'Siemens S7 (COTP/TPKT)' WHEN 20000 THEN 'DNP3' WHEN 44818 THEN 'EtherNet/IP (TCP)' WHEN 3389 THEN 'RDP' END AS service, count(*) AS packets FROM packets GROUP BY ALL")
 def port_lookup(spark, sf_dir):
     known = ports(spark).select("port", "service")  # 24 rows: fixed values

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from otspark.operators import flows
+from otspark.operators import flows, views
 from otspark.plans.catalog import register
 from otspark.sources.packets import PACKETS, POLLING, packets, polling
 
@@ -105,6 +105,7 @@ def size_dispersion(spark, sf_dir):
     return flows.size_dispersion(built_polling(spark, sf_dir)).select("flow_id", "src_ip", "cv")
 
 
-@register("comm_pivot", WITH + f", {MATRIX} SELECT src_ip, " + ", ".join(f"CAST(sum(CASE WHEN dst_ip = '{ip}' THEN packets END) AS BIGINT) AS \"{ip}\"" for ip in ("192.168.1.10", "192.168.1.11", "192.168.2.20", "192.168.2.21", "8.8.8.8")) + " FROM matrix GROUP BY src_ip")
+@register("comm_pivot", WITH + f", {MATRIX}, first AS (SELECT DISTINCT src_ip FROM matrix ORDER BY src_ip LIMIT 35) SELECT src_ip, " + ", ".join(f"coalesce(CAST(sum(CASE WHEN dst_ip = '{ip}' THEN packets END) AS BIGINT), 0) AS \"{ip}\"" for ip in ("192.168.1.10", "192.168.1.11", "192.168.2.20", "192.168.2.21", "8.8.8.8")) + " FROM matrix JOIN first USING (src_ip) GROUP BY src_ip")
 def comm_pivot(spark, sf_dir):
-    return flows.comm_matrix(built(spark, sf_dir)).groupBy("src_ip").pivot("dst_ip", ["192.168.1.10", "192.168.1.11", "192.168.2.20", "192.168.2.21", "8.8.8.8"]).agg(F.sum("packets"))
+    """The operator finds the destinations; the SQL names those of the view."""
+    return views.pivot(built(spark, sf_dir))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from otspark.functions.dims import HEURISTIC
 from otspark.operators import decode, flows
 from otspark.plans.catalog import register
 from otspark.plans.flow_queries import KEYS
@@ -27,12 +28,10 @@ def modbus_decode(spark, sf_dir):
     return modbus_frames(spark, sf_dir).select("packet_number", "function_code", "is_write_operation", "is_exception")
 
 
-@register("dispatch", f"WITH {PACKETS} SELECT packet_number, CASE dst_port WHEN 502 THEN 'modbus' WHEN 102 THEN 's7' WHEN 20000 THEN 'dnp3' WHEN 44818 THEN 'enip' END AS protocol_slug FROM packets WHERE dst_port IN (502, 102, 20000, 44818)")
+@register("dispatch", f"WITH {PACKETS} SELECT packet_number, CASE dst_port WHEN 502 THEN 'modbus' WHEN 102 THEN 's7' WHEN 20000 THEN 'dnp3' WHEN 44818 THEN 'enip' END AS protocol_slug FROM packets WHERE dst_port <> 3389 UNION ALL SELECT packet_number, unnest({list(HEURISTIC)}) FROM packets WHERE dst_port = 3389")
 def dispatch(spark, sf_dir):
-    """The decoder that each packet's ports choose."""
-    slugs = list(decode.DECODERS)
-    rows = packets(spark, sf_dir).where("dst_port in (502, 102, 20000, 44818)")
-    return rows.select("packet_number", F.explode(decode.dispatch(slugs)).alias("protocol_slug"))
+    """The decoders that look at each packet: those of its ports, else all that go by payload."""
+    return packets(spark, sf_dir).select("packet_number", F.explode(decode.dispatch(list(decode.DECODERS))).alias("protocol_slug"))
 
 
 @register("command_profile", f"WITH {PACKETS} SELECT fc AS function_code, CASE WHEN fc IN (1, 2, 3, 4) THEN 'read' WHEN fc IN (5, 6, 15, 16, 22, 24) THEN 'write' ELSE 'other' END AS category, count(*) AS requests, count(DISTINCT src_ip) AS sources FROM packets WHERE dst_port = 502 GROUP BY ALL")
@@ -61,19 +60,6 @@ def flow_frames(spark, sf_dir):
     return built.select("src_ip", "src_port", "dst_ip", joined("function_codes_seen").alias("function_codes"), joined("modbus_write_fcs_seen").alias("write_codes"), "has_write_operations")
 
 
-@register("protocol_distribution", f"WITH {PACKETS} SELECT CASE WHEN dst_port = 502 THEN 'Modbus' ELSE 'TCP' END AS protocol, count(*) AS packets FROM packets GROUP BY ALL")
-def protocol_distribution(spark, sf_dir):
-    """Packets by label, with frames of port 502 alone."""
-    rows = packets(spark, sf_dir)
-    return flows.protocol_distribution(flows.with_frames(flows.flow_build(rows), modbus_frames(spark, sf_dir).where("dst_port = 502")))
-
-
-@register("payload_fingerprints", f"WITH {PACKETS} SELECT md5(unhex(printf('%04X00000006%02X%02X%04X%04X', txn, unit, fc, addr, qty))) AS fingerprint, count(*) AS packets FROM packets GROUP BY ALL")
-def payload_fingerprints(spark, sf_dir):
-    """Packets by the digest of the first 48 bytes of the payload."""
-    return packets(spark, sf_dir).groupBy(F.md5(F.substring("payload", 1, 48)).alias("fingerprint")).agg(F.count("*").alias("packets"))
-
-
 @register(
     "multi_target_sources",
     f"WITH {PACKETS} SELECT src_ip, count(DISTINCT dst_ip) AS targets FROM packets WHERE dst_port IN (502, 102, 20000, 44818) GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 4",

@@ -102,7 +102,7 @@ def rows_of(path: str, content: bytes | None) -> Iterator[tuple]:
         yield name, path, n, ts, linktype, length, raw, None
 
 
-def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def cut_records(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     types = [("pcap_file", pa.string()), ("path", pa.string()), ("packet_number", pa.int64()), ("ts_us", pa.int64()), ("linktype", pa.int32()), ("length", pa.int64()), ("raw", pa.binary()), ("error", pa.string())]
     schema, held = pa.schema(types), []
     for batch in batches:
@@ -121,7 +121,7 @@ def records(spark: SparkSession, path: str | list[str], most: int = 0) -> DataFr
     files = spark.read.format("binaryFile").load(path)
     place = Window.orderBy("path")  # one row a file, of which only the path is read
     index = files.select("path").withColumn("file_idx", F.row_number().over(place) - 1)
-    return files.select("path", "content").mapInArrow(partial(_cut, most=most), SCHEMA).join(F.broadcast(index), "path")
+    return files.select("path", "content").mapInArrow(partial(cut_records, most=most), SCHEMA).join(F.broadcast(index), "path")
 
 
 def errors(found: DataFrame) -> DataFrame:

@@ -105,3 +105,86 @@ POLLING = f"""packets AS (
     '10.1.0.' || (event_id % 40) AS src_ip, '10.2.0.1' AS dst_ip, CAST(50000 + event_id % 40 AS INTEGER) AS src_port, CAST(502 AS INTEGER) AS dst_port, 'TCP' AS transport,
     CASE WHEN event_id % 2400 < 60 THEN (event_id // 2400) * 200 WHEN event_id % 2400 BETWEEN 1200 AND 1210 THEN event_id // 12 + 1 ELSE event_id // 12 END AS sec
   FROM events)"""
+
+
+# fixed values of the talk view: source port (None: the user's), destination port (None: the user's), transport and payload of each kind
+_SNMP = "302902010104067075626c6963a01c020458000000020100020100300e300c06082b060102010101000500"
+TALK = [
+    (None, 502, "TCP", None),  # the Modbus request of the packet view
+    (None, 502, "TCP", b"plain text here".hex()),
+    (None, 2404, "TCP", "680443000000"),
+    (None, 443, "TCP", "160301002000"),
+    (None, 80, "TCP", None),  # a web request to a host of the user
+    (21, None, "TCP", b"220 plant FTP server ready".hex()),
+    (None, 22, "TCP", b"SSH-2.0-OpenSSH".hex()),
+    (None, 23, "TCP", b"login: ".hex()),
+    (None, 53, "UDP", None),  # a question for a name of the user
+    (None, 161, "UDP", _SNMP),
+    (None, 8080, "TCP", b"POST /login HTTP/1.1\r\nAuthorization: Basic YWJj\r\n\r\n".hex()),
+    (None, 9600, "TCP", (b"abcdefghij" * 4).hex()),
+]
+FLAGS = (2, 24, 17, 4)
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The talk view: packets of the packet view that carry twelve kinds of payload in turn; every fiftieth is an ARP frame."""
+    p = packets(spark, sf_dir)
+    kind, user = (F.col("packet_number") % len(TALK)).cast("int"), F.col("src_port") - 40000
+    ip = F.col("packet_number") % 50 != 0
+    of = lambda i: F.element_at(F.array(*[F.lit(t[i]) for t in TALK]), kind + 1)
+    web = F.concat(F.lit("GET /plc/status HTTP/1.1\r\nHost: h"), (user % 7).cast("string"), F.lit(".plant.example\r\nUser-Agent: Nmap\r\n\r\n")).cast("binary")
+    ask = F.unhex(F.concat(F.lit("000101000001000000000000026e3"), (user % 9).cast("string"), F.lit("076578616d706c65036f72670000010001")))
+    body = F.when(kind == 0, F.col("payload")).when(kind == 4, web).when(kind == 8, ask).otherwise(F.unhex(of(3)))
+    return p.select(
+        "file_idx", "packet_number", "ts_us", "ts", "length", "fc",
+        F.concat(F.lit("00:0e:8c:00:00:"), F.lower(F.lpad(F.hex(user % 256), 2, "0"))).alias("src_mac"), F.lit("00:1b:1b:00:00:01").alias("dst_mac"), F.when(ip, 0x0800).otherwise(0x0806).alias("eth_type"),
+        F.when(ip, F.col("src_ip")).alias("src_ip"), F.when(ip, F.col("dst_ip")).alias("dst_ip"),
+        F.when(ip, F.when(of(2) == "TCP", 6).otherwise(17)).alias("ip_proto"), F.when(ip, of(2)).alias("transport"),
+        F.when(ip, F.coalesce(of(0), F.col("src_port"))).alias("src_port"), F.when(ip, F.coalesce(of(1), F.col("src_port"))).alias("dst_port"),
+        F.when(ip & (of(2) == "TCP"), F.element_at(F.array(*map(F.lit, FLAGS)), (F.col("packet_number") % 4 + 1).cast("int"))).alias("tcp_flags"), F.when(ip, body).alias("payload"),
+    )
+
+
+def _talk_list(i: int) -> str:
+    return "[" + ", ".join("NULL" if t[i] is None else repr(t[i]) for t in TALK) + "]"
+
+
+#: The talk view in DuckDB: kinds and users stand for the payloads. To stand behind WITH.
+TALK_SQL = f"""{PACKETS},
+ talk AS (SELECT file_idx, packet_number, ts_us, length, fc, packet_number % 12 AS k, src_port - 40000 AS u,
+    '00:0e:8c:00:00:' || printf('%02x', (src_port - 40000) % 256) AS src_mac, CASE WHEN packet_number % 50 = 0 THEN 2054 ELSE 2048 END AS eth_type,
+    src_ip, dst_ip, ({_talk_list(2)})[packet_number % 12 + 1] AS transport,
+    coalesce(({_talk_list(0)})[packet_number % 12 + 1], src_port) AS src_port, coalesce(({_talk_list(1)})[packet_number % 12 + 1], src_port) AS dst_port,
+    ({list(FLAGS)})[packet_number % 4 + 1] AS tcp_flags FROM packets),
+ ip AS (SELECT * FROM talk WHERE packet_number % 50 <> 0)"""
+
+
+# fixed values of the wire view: slug, port, transport, codes in turn, hex of the payload (a format and its arguments; n numbers the packet, c is the code)
+_LOW = "cast({0} % 256 as int), cast({0} div 256 % 256 as int)"
+WIRE = [
+    ("s7", 102, "TCP", (4, 5, 26, 40, 41, 240), "0300001902f08032010000%04X00080000%02X01000000000000", "cast(n % 65536 as int), c"),
+    ("dnp3", 20000, "TCP", (1, 2, 3, 5, 13, 23), "05640bc4%02X%02X0300ffffc0c1%02X3c020600", _LOW.format("(n % 1000)") + ", c"),
+    ("opcua", 4840, "TCP", (631, 673, 527, 712, 461), "4d53474620000000%02X%02X0000010000000100%02X%02X" + "00" * 16, _LOW.format("(n % 65536)") + ", " + _LOW.format("c")),
+    ("enip", 44818, "TCP", (76, 77, 14, 16, 5), "6f001600%02X%02X0000" + "00" * 16 + "000000000a00020000000000b2000600%02X0291034142", _LOW.format("(n % 65536)") + ", c"),
+    ("iec104", 2404, "TCP", (45, 100, 105, 1), "680e%02X%02X0400%02X01060001000a000001", _LOW.format("(2 * (n % 1000))") + ", c"),
+    ("bacnet", 47808, "UDP", (12, 15, 17, 3), "810a000a00000244%02X%02X", "cast(n % 256 as int), c"),
+    ("mqtt", 1883, "TCP", (3,), "30070003742f3%d6869", "cast(n % 10 as int)"),
+    ("snmp", 161, "UDP", (0, 1, 3, 5), "300e02010104047075623%da%d03020100", "cast(n % 10 as int), c"),
+    ("omron_fins", 9600, "UDP", (257, 258, 545), "80000000000000000000%04X00", "c"),
+    ("ge_srtp", 18245, "TCP", (4, 5, 1, 7), "%04X0000%02X000010" + "00" * 8, "cast(n % 65536 as int), c"),
+]
+
+
+def wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wire view: requests of the ten protocols besides Modbus in turn, by packet number."""
+    p = packets(spark, sf_dir).select("file_idx", "packet_number", "ts_us", "ts", "length", "src_ip", "dst_ip", "src_port", F.col("packet_number").alias("n"), (F.col("packet_number") % len(WIRE)).cast("int").alias("k"))
+    of = lambda i: F.element_at(F.array(*[F.lit(w[i]) for w in WIRE]), F.col("k") + 1)
+    codes = F.array(*[F.array(*map(F.lit, w[3])) for w in WIRE])
+    mine = F.element_at(codes, F.col("k") + 1)
+    p = p.withColumn("c", F.element_at(mine, (F.expr("n div 10") % F.size(mine) + 1).cast("int")))
+    body = F.expr("case k " + " ".join(f"when {k} then format_string('{w[4]}', {w[5]})" for k, w in enumerate(WIRE)) + " end")
+    return p.select("file_idx", "packet_number", "ts_us", "ts", "length", "src_ip", "dst_ip", "src_port", of(1).alias("dst_port"), of(2).alias("transport"), F.unhex(body).alias("payload"), "k")
+
+
+#: The wire view in DuckDB: numbers and codes stand for the payloads.
+WIRE_SQL = f"{PACKETS}, codes(k, slug, list) AS (VALUES {', '.join(f'({k}, {w[0]!r}, {list(w[3])})' for k, w in enumerate(WIRE))}), wire AS (SELECT packet_number, packet_number AS n, slug, list[(packet_number // 10) % len(list) + 1] AS c FROM packets JOIN codes ON packet_number % 10 = k)"

@@ -8,6 +8,8 @@ import pytest
 from otspark.plans import catalog
 
 SF = "/root/testdata/sf0.01"
+#: Queries whose right answer is no row.
+EMPTY = {"short_payload_fingerprints"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,7 @@ def test_as_sql(spark, duck, name):
     names = [d[0] for d in theirs.description]
     expected = theirs.fetchall()
     assert sorted(df.columns) == sorted(names)
-    assert expected
+    assert bool(expected) == (name not in EMPTY)
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(expected, names)
 
 
