@@ -1,22 +1,27 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts of words are exact (one row per word, summed after a sum in each task);
-counts of word pairs are of their 64-bit hashes, summed in each task, packed and
-dealt to groups whose number grows with the corpus. A count c is quantised to
-level 1 + floor(log_B(c)), and the filter holds (n-gram, j) for each j up to that
-level; a reader probes j = 1, 2, ... until one is absent. The filter has BITS bits
-an entry and at most FILTER_BYTES for each order of n-grams: where the corpus has
-more entries than fit, the lowest levels are left out (n-grams too rare for the
-model), never texts or tokens of a score. So what is broadcast has a fixed bound.
+counts of word pairs are of their hashes, summed in each task, packed and dealt to
+groups whose number grows with the corpus. A count c is quantised to level
+1 + floor(log_B(c)), and a filter holds (n-gram, j) for each j up to that level; a
+reader probes j = 1, 2, ... until one is absent. Filters have BITS bits an entry.
+
+A filter of the common n-grams is broadcast: of each order, the levels from the
+lowest one that keeps it within FILTER_BYTES. That bound decides only where an
+n-gram is probed, not whether. Every group of pairs also has a filter of its own of
+all its pairs, seen once or often, which stays in a table: the probes that the
+broadcast filter leaves open are dealt to the groups and answered there. Rare words
+outside the broadcast filter get their counts by joins. So texts have the same model
+at every size, and what is broadcast has a fixed bound.
 
 Base score: add-one unigrams with exact counts. The commonest words (HEAD of them
 at most) are broadcast with their counts; all other words of the texts are joined
 with the counts by a shuffle.
 
-Model: with c~ from the filter, D the absolute discount n1/(n1+2n2), p(w) =
-(c~(w)-D)/N for words it holds and D V/N for any other, and
-P(w|u) = f c~(u,w)/c~(u) + (1-f) p(w), f the share of pair tokens of the training
-texts whose pair is held and seen more than the least count.
+Model: with c~ the count that a level stands for, D the absolute discount
+n1/(n1+2n2), p(w) = (c~(w)-D)/N for words of the training texts and D V/N for any
+other, and P(w|u) = f c~(u,w)/c~(u) + (1-f) p(w), f the share of pair tokens of the
+training texts whose pair is seen more than once.
 
 Cases: null and empty texts are one end token; without training texts N and V
 are 0 and both scores 0; repeated rows have equal scores; an empty table gives an
@@ -34,6 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +47,20 @@ from otspark.llm.common import crc_mod, text_of, written
 
 #: Base of the count levels, bits an entry, probes an entry.
 BASE, BITS, PROBES = 1.5, 14, 7
-#: Most bytes of the filter of an order.
-FILTER_BYTES = 48_000_000
+#: Most bytes of the broadcast filters: of words, of pairs.
+FILTER_BYTES = (40_000_000, 16_000_000)
 #: Pieces that a filter is built in.
 PIECES = 64
 #: Words that are broadcast with their exact counts, at most.
 HEAD = 600_000
 #: Pair tokens of a group.
-GROUP = 400_000
+GROUP = 3_000_000
 #: Words that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 150_000
+#: Probes that are answered at a time.
+PROBES_AT_ONCE = 200_000
+#: Characters of text that are scored at a time.
+CHARS = 500_000
 
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,12 +93,28 @@ def estimate(j: np.ndarray) -> np.ndarray:
     return np.where(j > 0, (low + high) / 2, 0.0)
 
 
+#: estimate() of every level that there is.
+ESTIMATES = estimate(np.arange(112))
+
+
+def keyed(x: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each pair hash, and 32 further bits that tell the pairs of a group apart (about one in 10^4 falls together with another)."""
+    with np.errstate(over="ignore"):
+        return (x % np.uint64(groups)).astype(np.int64), (x // np.uint64(groups)).astype(np.uint32)
+
+
+def spread(g: np.ndarray | int, r: np.ndarray) -> np.ndarray:
+    """One 64-bit number for a group and its 32 bits."""
+    with np.errstate(over="ignore"):
+        return mixed(np.asarray(g).astype(np.uint64) * np.uint64(1 << 32) + r.astype(np.uint64))
+
+
 class Filter:
-    """Bits in PIECES pieces; an n-gram's piece follows from its hash."""
+    """Bits in pieces."""
 
-    def __init__(self, pieces: dict[int, bytes], least: int):
-        sizes = [len(pieces.get(i, b"")) for i in range(PIECES)]
-        self.bits = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(PIECES)), np.uint8)
+    def __init__(self, pieces: list[bytes], least: int = 1):
+        sizes = [len(p) for p in pieces]
+        self.bits = np.frombuffer(b"".join(pieces), np.uint8)
         self.size = np.array(sizes, np.uint64) * np.uint64(8)
         self.start = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64) * np.uint64(8)
         self.least = least  # lowest level held
@@ -101,15 +127,14 @@ class Filter:
             for i in range(PROBES):
                 yield (a + np.uint64(i) * b) % size
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram, by repeated membership probes; 0 where it isn't held."""
-        out = np.zeros(len(h), np.int64)
+    def levels(self, h: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Quantised count of each n-gram, by repeated membership probes in its piece; 0 where it isn't held."""
+        out = np.zeros(len(h), np.uint8)
         at, j = np.arange(len(h)), self.least
-        piece = (h % np.uint64(PIECES)).astype(np.int64)
         size, start = self.size[piece], self.start[piece]
         going = size > 0
         at, h, size, start = at[going], h[going], size[going], start[going]
-        while len(at) and j < 200:
+        while len(at) and j < len(ESTIMATES):
             with np.errstate(over="ignore"):
                 a = mixed(h + np.uint64(j) * np.uint64(0xD6E8FEB86659FD93))
                 b = (a >> np.uint64(32)) | np.uint64(1)
@@ -147,7 +172,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0):
                 held.update(words_of(t.as_py()))
-                if len(held) > 400_000:
+                if len(held) > 200_000:
                     yield from frames(held)
                     held.clear()
         yield from frames(held)
@@ -180,9 +205,8 @@ def summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.n
     return h[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def packed(h: np.ndarray, c: np.ndarray, groups: int) -> pd.DataFrame:
-    """A row for each group: its hashes and counts as bytes. groups is a multiple of PIECES, so a group lies in one piece."""
-    g = (h % np.uint64(groups)).astype(np.int64)
+def packed(g: np.ndarray, h: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+    """A row for each group: its hashes and counts as bytes."""
     order = np.argsort(g, kind="stable")
     g, h, c = g[order], h[order], c[order]
     which, first = np.unique(g, return_index=True)
@@ -190,20 +214,21 @@ def packed(h: np.ndarray, c: np.ndarray, groups: int) -> pd.DataFrame:
     return pd.DataFrame({"g": which, "h": [h[a:b].tobytes() for a, b in zip(cut, cut[1:])], "c": [c[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])]}, columns=["g", "h", "c"])
 
 
-def unpacked(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(b.h), np.uint64), np.frombuffer(b"".join(b.c), np.uint32).astype(np.int64)
+def unpacked(b: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(b.h), kind), np.frombuffer(b"".join(b.c), np.uint32).astype(np.int64)
 
 
 def pair_counts(train: DataFrame, groups: int) -> DataFrame:
-    """g, h, c, n, n_left: packed counts of the pairs of each group that occur twice or more; n tokens, and those of the rest."""
+    """g, h, c, bits: of each group the packed counts of the pairs that occur twice or more, and the filter of all its pairs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, parts, held = Hashes(), [], 0
 
         def flush() -> pd.DataFrame:
-            out = packed(*summed(np.concatenate(parts)), groups)
+            x, c = summed(np.concatenate(parts))
             parts.clear()
-            return out
+            g, h = keyed(x, groups)
+            return packed(g, h, c)
 
         for b in batches:
             for t in b.text:
@@ -213,49 +238,51 @@ def pair_counts(train: DataFrame, groups: int) -> DataFrame:
                 h[1:-1] = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
                 parts.append(pair(h[:-1], h[1:]))
                 held += len(w) + 1
-                if held > 3_000_000:
+                if held > 1_000_000:
                     yield flush()
                     held = 0
-            if len(known) > REMEMBERED:
-                known.clear()
+                if len(known) > REMEMBERED:
+                    known.clear()
         if parts:
             yield flush()
 
     def merge(b: pd.DataFrame) -> pd.DataFrame:
-        h, c = summed(*unpacked(b))
-        more = c > 1
-        return pd.DataFrame({"g": [int(b.g.iloc[0])], "h": [h[more].tobytes()], "c": [np.minimum(c[more], 2**32 - 1).astype(np.uint32).tobytes()], "n": [int(c.sum())]})
+        h, c = summed(*unpacked(b, np.uint32))
+        g, more = int(b.g.iloc[0]), c > 1
+        return pd.DataFrame({"g": [g], "h": [h[more].tobytes()], "c": [np.minimum(c[more], 2**32 - 1).astype(np.uint32).tobytes()], "bits": [piece_bits(spread(g, h), c, 1)]})
 
-    return train.select("text").mapInPandas(count, "g long, h binary, c binary").groupBy("g").applyInPandas(merge, "g long, h binary, c binary, n long")
+    return train.select("text").mapInPandas(count, "g long, h binary, c binary").groupBy("g").applyInPandas(merge, "g long, h binary, c binary, bits binary")
 
 
-def word_groups(counts: DataFrame, groups: int) -> DataFrame:
-    """The word counts in the packed form."""
+def word_groups(counts: DataFrame) -> DataFrame:
+    """The word counts in the packed form; their groups are the pieces of the filter."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield packed(b.h.to_numpy(np.int64).view(np.uint64), np.minimum(b.c.to_numpy(np.int64), 2**32 - 1), groups)
+            h = b.h.to_numpy(np.int64).view(np.uint64)
+            yield packed((h % np.uint64(PIECES)).astype(np.int64), h, np.minimum(b.c.to_numpy(np.int64), 2**32 - 1))
 
     return counts.select(F.xxhash64("word").alias("h"), "c").mapInPandas(pack, "g long, h binary, c binary")
 
 
-def built(entries: DataFrame) -> tuple[Filter, np.ndarray]:
-    """The filter of packed counts (each n-gram in one row), and (level, n-grams, tokens) as it counts them."""
+def built(entries: DataFrame, kind: type, most: int, lowest: int) -> tuple[Filter, np.ndarray]:
+    """The broadcast filter of packed counts (each n-gram in one row), and (level, n-grams, tokens) as it counts them."""
 
     def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            _, c = unpacked(b)
+            _, c = unpacked(b, kind)
             q = level(c)
             yield pd.DataFrame({"q": np.arange(201), "n": np.bincount(q, minlength=201)[:201], "t": np.bincount(q, c, 201)[:201].astype(np.int64)}).query("n > 0")
 
     seen = entries.mapInPandas(levels, "q long, n long, t long").groupBy("q").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     table = np.array(sorted((r.q, r.n, r.t) for r in seen), np.int64).reshape(-1, 3)
-    least = 1
-    while (np.maximum(table[:, 0] - least + 1, 0) * table[:, 1]).sum() * BITS > 8 * FILTER_BYTES:
+    least = lowest
+    while (np.maximum(table[:, 0] - least + 1, 0) * table[:, 1]).sum() * BITS > 8 * most:
         least += 1
 
     def piece(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": [int(b.piece.iloc[0])], "bits": [piece_bits(*unpacked(b), least)]})
+        h = np.concatenate([spread(g, np.frombuffer(x, kind)) if kind is np.uint32 else np.frombuffer(x, kind) for g, x in zip(b.g, b.h)])
+        return pd.DataFrame({"piece": [int(b.piece.iloc[0])], "bits": [piece_bits(h, unpacked(b, kind)[1], least)]})
 
     def fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Leaves out, before the shuffle, what is below the lowest level."""
@@ -264,28 +291,42 @@ def built(entries: DataFrame) -> tuple[Filter, np.ndarray]:
             for g, h, c in zip(b.g, b.h, b.c):
                 c2 = np.frombuffer(c, np.uint32)
                 ok = level(c2) >= least
-                rows.append((g % PIECES, np.frombuffer(h, np.uint64)[ok].tobytes(), c2[ok].tobytes()))
-            yield pd.DataFrame(rows, columns=["piece", "h", "c"])
+                rows.append((g % PIECES, g, np.frombuffer(h, kind)[ok].tobytes(), c2[ok].tobytes()))
+            yield pd.DataFrame(rows, columns=["piece", "g", "h", "c"])
+
+    pieces = {r.piece: bytes(r.bits) for r in entries.mapInPandas(fitting, "piece long, g long, h binary, c binary").groupBy("piece").applyInPandas(piece, "piece long, bits binary").collect()}
+    return Filter([pieces.get(i, b"") for i in range(PIECES)], least), table
+
+
+class Model:
+    """The numbers of the model."""
+
+    def __init__(self, n: int, v: int, texts: int, discount: float, share: float):
+        self.n, self.v, self.texts, self.discount, self.share = n, v, texts, discount, share
 
-    pieces = entries.select("g", "h", "c").mapInPandas(fitting, "piece long, h binary, c binary").groupBy("piece").applyInPandas(piece, "piece long, bits binary").collect()
-    return Filter({r.piece: bytes(r.bits) for r in pieces}, least), table
+    def logs(self, qu: np.ndarray, qw: np.ndarray, both: np.ndarray | int) -> np.ndarray:
+        """log10 P(w|u) from the levels of u, w and (u, w)."""
+        c, cu = ESTIMATES[qw], ESTIMATES[qu]
+        p = np.where(c > 0, np.maximum(c - self.discount, 1e-3), self.discount * self.v) / self.n
+        seen = np.minimum(ESTIMATES[both], np.minimum(c, cu))
+        return np.log10(np.minimum(np.where(cu > 0, self.share * seen / np.maximum(cu, 1) + (1 - self.share) * p, p), 1.0))
 
 
 class Scorer:
-    """What the workers need: both filters, the head of the vocabulary, a few numbers."""
+    """What the workers need: the numbers, both broadcast filters, and hashes and counts of the head of the vocabulary."""
 
-    def __init__(self, words: Filter, pairs: Filter, head: dict[bytes, int], n: int, v: int, texts: int, discount: float, share: float):
-        self.words, self.pairs, self.head, self.n, self.v, self.texts, self.discount, self.share = words, pairs, head, n, v, texts, discount, share
+    def __init__(self, model: Model, words: Filter, pairs: Filter, groups: int, head: np.ndarray, head_counts: np.ndarray):
+        self.model, self.words, self.pairs, self.groups, self.head, self.head_counts = model, words, pairs, groups, head, head_counts
 
 
 class Vocabulary(dict):
-    """Row of each word in growing arrays: its hash, estimated count, log10 of exact count + 1 (NaN outside the head)."""
+    """Row of each word in growing arrays: its hash, level, log10 of exact count + 1 (NaN outside the head)."""
 
     def __init__(self, s: Scorer):
         self.s, self.fresh = s, []
         self.h = np.array([START, END], np.uint64)
-        self.c = np.array([float(s.texts)] * 2)
-        self.exact = np.array([np.nan, math.log10(s.texts + 1)])
+        self.q = np.full(2, level(np.array(s.model.texts)) if s.model.texts else 0, np.uint8)
+        self.exact = np.array([np.nan, math.log10(s.model.texts + 1)])
         self.count = 2
 
     def __missing__(self, w: bytes) -> int:
@@ -298,15 +339,34 @@ class Vocabulary(dict):
         if self.fresh:
             h = np.array(list(map(xxhash.xxh64_intdigest, self.fresh, repeat(42))), np.uint64)
             self.h = np.concatenate([self.h, h])
-            self.c = np.concatenate([self.c, estimate(self.s.words.levels(h))])
-            got = np.fromiter((self.s.head.get(w, -1) for w in self.fresh), float, len(self.fresh))
-            self.exact = np.concatenate([self.exact, np.where(got < 0, np.nan, np.log10(np.maximum(got, 0) + 1))])
+            self.q = np.concatenate([self.q, self.s.words.levels(h, (h % np.uint64(PIECES)).astype(np.int64))])
+            at = np.minimum(np.searchsorted(self.s.head, h), max(0, len(self.s.head) - 1))
+            got = self.s.head[at] == h if len(self.s.head) else np.zeros(len(h), bool)
+            exact = np.full(len(h), np.nan)
+            exact[got] = np.log10(self.s.head_counts[at[got]] + 1)
+            self.exact = np.concatenate([self.exact, exact])
             self.fresh = []
 
 
-def scored(texts: list[str], vocab: Vocabulary) -> pd.DataFrame:
-    """For each text: n_tokens, model score, sums over the head, and the words outside the head with how often they occur."""
-    s = vocab.s
+def open_probes(first: np.ndarray, g: np.ndarray, r: np.ndarray, qu: np.ndarray, qw: np.ndarray, doc: np.ndarray) -> pd.DataFrame:
+    """A row for each run of texts (named by its first row) and group: the probes that the broadcast filter leaves open, in the order of their texts."""
+    order = np.lexsort((doc, g, first))
+    first, g, r, qu, qw, doc = first[order], g[order], r[order], qu[order].astype(np.uint8), qw[order].astype(np.uint8), doc[order].astype(np.uint32)
+    start = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (first[1:] != first[:-1]))) if len(g) else np.zeros(0, np.int64)
+    cut = np.append(start, len(g))
+    rows = [(int(g[a]), int(first[a]), r[a:b].tobytes(), qu[a:b].tobytes(), qw[a:b].tobytes(), doc[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+    return pd.DataFrame(rows, columns=["g", "_first", "m_h", "m_u", "m_w", "m_d"])
+
+
+def filled(df: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """The columns asked for; those that there are not are null."""
+    return df.assign(**{c: None for c in names if c not in df})[names]
+
+
+def scored(texts: list[str], vocab: Vocabulary, first_row: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """For each text: n_tokens, score so far, sums over the head, words outside the head with how often they occur, tokens with
+    a word that neither filter nor head tells of; and the open probes."""
+    s, m = vocab.s, vocab.s.model
     rows = [list(map(vocab.__getitem__, words_of(t))) for t in texts]
     names = {i: w for w, i in zip(vocab.fresh, range(vocab.count - len(vocab.fresh), vocab.count))}
     vocab.settle()
@@ -319,14 +379,20 @@ def scored(texts: list[str], vocab: Vocabulary) -> pd.DataFrame:
     before = np.concatenate([[0], at[:-1]])
     before[ends[:-1]] = 0  # 0: the start
     doc = np.repeat(np.arange(len(texts)), sizes)
-    if s.n:
-        c, cu = vocab.c[at], vocab.c[before]
-        p = np.where(c > 0, np.maximum(c - s.discount, 1e-3), s.discount * s.v) / s.n
-        both = np.minimum(estimate(s.pairs.levels(pair(vocab.h[before], vocab.h[at]))), np.minimum(c, cu))
-        p = np.where(cu > 0, s.share * both / np.maximum(cu, 1) + (1 - s.share) * p, p)
-        logs = np.log10(np.minimum(p, 1.0))
-    else:
-        logs = np.zeros(len(at))
+    unsure = np.zeros(len(at), bool)
+    probes = pd.DataFrame(columns=["g", "_first", "m_h", "m_u", "m_w", "m_d"])
+    logs = np.zeros(len(at))
+    if m.n:
+        qu, qw = vocab.q[before], vocab.q[at]
+        unsure = ((qu == 0) | (qw == 0)) if s.words.least > 1 else unsure
+        here = np.flatnonzero((qu > 0) & (qw > 0) & ~unsure)
+        g, r = keyed(pair(vocab.h[before[here]], vocab.h[at[here]]), s.groups)
+        both = np.zeros(len(at), np.uint8)
+        both[here] = s.pairs.levels(spread(g, r), g % PIECES)
+        logs = np.where(unsure, 0.0, m.logs(qu, qw, both))
+        left = both[here] == 0
+        where = here[left]
+        probes = open_probes(np.full(len(where), first_row), g[left], r[left], qu[where], qw[where], doc[where])
     exact = vocab.exact[at]
     head = ~np.isnan(exact)
     out = pd.DataFrame({"n_tokens": sizes, "score": np.bincount(doc, logs, len(texts)), "head_sum": np.bincount(doc[head], exact[head], len(texts)), "head_known": np.bincount(doc[head], exact[head] > 0, len(texts)).astype(np.int64)})
@@ -340,64 +406,166 @@ def scored(texts: list[str], vocab: Vocabulary) -> pd.DataFrame:
     tails = [names[i].decode("utf-8", "replace") for i in which.tolist()]
     out["words"] = [tails[a:b] for a, b in zip(cut, cut[1:])]
     out["times"] = [times[a:b] for a, b in zip(cut, cut[1:])]
-    return out
+    rare = np.flatnonzero(unsure)
+    cut = np.searchsorted(doc[rare], np.arange(len(texts) + 1))
+    for name, of in (("rare_u", before), ("rare_w", at)):
+        h = vocab.h[of[rare]].view(np.int64)
+        out[name] = [h[a:b] for a, b in zip(cut, cut[1:])]
+    return out, probes
+
+
+def corrections(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
+    """_first, d, v: what the pairs of the open probes add to the scores of texts (packed: number of the text after _first, value).
+
+    Filters and probes of a group stand one after the other in a sorted stream: a task holds one filter at a time.
+    """
+    asked = asked.select("g", F.lit(1).alias("kind"), "_first", "m_h", "m_u", "m_w", "m_d", F.lit(None).cast("binary").alias("bits"))
+    null = F.lit(None).cast("binary")
+    filters = pairs.select("g", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_first"), null.alias("m_h"), null.alias("m_u"), null.alias("m_w"), null.alias("m_d"), "bits")
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, of = None, -1
+        for b in batches:
+            packs: list[tuple] = []
+            out: list[pd.DataFrame] = []
+            n = 0
+
+            def settle() -> None:
+                """Answers the packs that wait, all of one group."""
+                nonlocal n
+                if packs:
+                    r, qu, qw, doc = (np.frombuffer(b"".join(p[i] for p in packs), k) for i, k in ((1, np.uint32), (2, np.uint8), (3, np.uint8), (4, np.uint32)))
+                    which = np.repeat(np.arange(len(packs)), [len(p[2]) for p in packs])
+                    both = held.levels(spread(of, r), np.zeros(len(r), np.int64))
+                    seen = np.flatnonzero(both)
+                    gain = model.logs(qu[seen], qw[seen], both[seen]) - model.logs(qu[seen], qw[seen], 0)
+                    place, back = np.unique(which[seen] << 32 | doc[seen].astype(np.int64), return_inverse=True)
+                    total, docs = np.bincount(back, gain, len(place)).astype(np.float32), (place & 0xFFFFFFFF).astype(np.uint32)
+                    cut = np.searchsorted(place >> 32, np.arange(len(packs) + 1))
+                    out.append(pd.DataFrame([(p[0], of, docs[i:j].tobytes(), total[i:j].tobytes()) for p, i, j in zip(packs, cut, cut[1:])], columns=["_first", "g", "d", "v"]))
+                packs.clear()
+                n = 0
+
+            for g, kind, first, h, u, w, d, bits in b.itertuples(index=False):
+                if g != of or n > PROBES_AT_ONCE:
+                    settle()
+                if kind == 0:
+                    held, of = Filter([bits]), g
+                elif of == g:
+                    packs.append((int(first), h, u, w, d))
+                    n += len(u)
+            settle()
+            yield pd.concat(out) if out else pd.DataFrame(columns=["_first", "g", "d", "v"])
+
+    return asked.unionByName(filters).repartition("g").sortWithinPartitions("g", "kind").mapInPandas(answer, "_first long, g long, d binary, v binary")
+
+
+def added(b: pd.DataFrame) -> pd.DataFrame:
+    """Sums for each text of a run of texts."""
+    b = b.sort_values(["g", "d"])
+    doc = np.frombuffer(b"".join(b.d), np.uint32).astype(np.int64)
+    docs, back = np.unique(doc, return_inverse=True)
+    return pd.DataFrame({"_row": docs + int(b._first.iloc[0]), "more": np.bincount(back, np.frombuffer(b"".join(b.v), np.float32).astype(float), len(docs))})
+
+
+def rare_tokens(first: DataFrame, counts: DataFrame, groups: int, model: Model) -> DataFrame:
+    """Tokens with a word outside the broadcast filter: their words' levels by joins, the score without the pair, and the open probe."""
+    tokens = first.where("size(rare_u) > 0").select("_row", "_first", F.explode(F.arrays_zip("rare_u", "rare_w")).alias("_t")).select("_row", "_first", F.col("_t.rare_u").alias("u"), F.col("_t.rare_w").alias("w"))
+    known = counts.select(F.xxhash64("word").alias("h"), "c").groupBy("h").agg(F.max("c").alias("c"))
+    ends = {int(x.view(np.int64)): model.texts for x in (START, END)}
+    for side in ("u", "w"):
+        tokens = tokens.join(known.select(F.col("h").alias(side), F.col("c").alias("c" + side)), side, "left")
+        fixed = F.when(F.col(side).isin(list(ends)), model.texts)
+        tokens = tokens.withColumn("c" + side, F.coalesce(fixed, "c" + side, F.lit(0)).cast("long"))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            qu, qw = (np.where(c > 0, level(c), 0).astype(np.uint8) for c in (b.cu.to_numpy(np.int64), b.cw.to_numpy(np.int64)))
+            yield filled(pd.DataFrame({"_row": b._row, "more": model.logs(qu, qw, 0)}), names)
+            here = np.flatnonzero((qu > 0) & (qw > 0))
+            if len(here):
+                g, r = keyed(pair(b.u.to_numpy(np.int64)[here].view(np.uint64), b.w.to_numpy(np.int64)[here].view(np.uint64)), groups)
+                row, run = b._row.to_numpy(np.int64)[here], b._first.to_numpy(np.int64)[here]
+                yield filled(open_probes(run, g, r, qu[here], qw[here], row - run), names)
+
+    schema = "_row long, more double, g long, _first long, m_h binary, m_u binary, m_w binary, m_d binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return tokens.repartition("_first").sortWithinPartitions("_first", "_row").mapInPandas(settle, schema)
 
 
-def lm_scores(docs: DataFrame, train: Column | None = None, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column | None = None, *, text_col: str = "text", id_col: str = "doc_id", filter_bytes: tuple[int, int] = FILTER_BYTES, head_words: int = HEAD, group: int = GROUP) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where `train` holds: by default those whose crc32 of the id's text mod 7 is not 2.
     """
     spark = docs.sparkSession
     held_out = crc_mod(docs[id_col], 7) == 2 if train is None else ~F.coalesce(train, F.lit(False))
-    rows = docs.select(docs[id_col].alias("doc_id"), held_out.alias("held_out"), F.xxhash64(docs[id_col], text_of(docs, text_col)).alias("_key"), text_of(docs, text_col).alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), held_out.alias("held_out"), text_of(docs, text_col).alias("text"))
     learn = rows.where("not held_out")
     counts = written(word_counts(learn))
     stat = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")).first()
     texts = learn.count()
     n, v = int(stat.n) + texts, int(stat.v) + (texts > 0)
-    groups = PIECES * max(1, -(-n // (GROUP * PIECES)))
-    word_filter, _ = built(written(word_groups(counts, groups)))
-    pairs = written(pair_counts(learn, groups))
-    pair_filter, held = built(pairs)
-    share = float((held[:, 2] * (held[:, 0] > max(2, pair_filter.least))).sum()) / n if n and len(held) else 0.0
-    # the head: words at or above the lowest power of two that leaves at most HEAD of them
+    groups = PIECES * max(1, -(-n // (group * PIECES)))
+    words, _ = built(word_groups(counts), np.uint64, filter_bytes[0], 1)
+    pair_table = written(pair_counts(learn, groups))
+    pairs, held = built(pair_table.select("g", "h", "c"), np.uint32, filter_bytes[1], 2)
+    share = float(held[:, 2].sum()) / n if n else 0.0
+    # the head: words at or above the lowest power of two that leaves at most head_words of them
     by = counts.groupBy(F.floor(F.log2("c")).alias("k")).count().collect()
     least, total = 63, 0
     for r in sorted(by, key=lambda r: -r.k):
-        if total + r["count"] > HEAD:
+        if total + r["count"] > head_words:
             break
         least, total = int(r.k), total + r["count"]
-    head = {r.word.encode(): r.c for r in counts.where(F.col("c") >= F.lit(1 << least)).toLocalIterator()} if total else {}
+    common = counts.where(F.col("c") >= F.lit(1 << least)).select(F.xxhash64("word").alias("h"), "c").mapInPandas(lambda bs: (pd.DataFrame({"h": [b.h.to_numpy(np.int64).tobytes()], "c": [b.c.to_numpy(np.int64).tobytes()]}) for b in bs), "h binary, c binary").collect() if total else []
+    head, head_counts = np.frombuffer(b"".join(bytes(r.h) for r in common), np.uint64), np.frombuffer(b"".join(bytes(r.c) for r in common), np.int64)
+    order = np.argsort(head)
     discount = stat.n1 / (stat.n1 + 2 * stat.n2) if stat.n1 else 0.5
-    shared = spark.sparkContext.broadcast(Scorer(word_filter, pair_filter, head, n, v, texts, discount, min(0.9, max(0.01, share))))
+    model = Model(n, v, texts, discount, min(0.9, max(0.01, share)))
+    shared = spark.sparkContext.broadcast(Scorer(model, words, pairs, groups, head[order], head_counts[order]))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = Vocabulary(shared.value)
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             at, size = 0, 0
             sizes = b.text.str.len().tolist()
-            for i, k in enumerate(sizes):  # about 4 MB of text at a time
+            for i, k in enumerate(sizes):
                 size += k
-                if size > 4_000_000 or i == len(sizes) - 1:
+                if size > CHARS or i == len(sizes) - 1:
                     part = b.iloc[at : i + 1].reset_index(drop=True)
                     if vocab.count > REMEMBERED:
                         vocab = Vocabulary(shared.value)
-                    yield pd.concat([part[["doc_id", "held_out", "_key"]], scored(part.text.tolist(), vocab)], axis=1)
-                    at, size = i + 1, 0
+                    out, probes = scored(part.text.tolist(), vocab, row)
+                    ids = pd.DataFrame({"_row": np.arange(row, row + len(part)), "_first": row})
+                    yield filled(pd.concat([ids, part[["doc_id", "held_out"]], out], axis=1), names)
+                    for k in range(0, len(probes), 64):
+                        yield filled(probes.iloc[k : k + 64], names)
+                    at, size, row = i + 1, 0, row + len(part)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    first = written(rows.mapInPandas(score, f"doc_id {id_type}, held_out boolean, _key long, n_tokens long, score double, head_sum double, head_known long, words array<string>, times array<long>"))
-    tail = first.where("size(words) > 0").select("_key", F.explode(F.arrays_zip("words", "times")).alias("_t")).select("_key", F.col("_t.words").alias("word"), F.col("_t.times").alias("times"))
-    tail = tail.join(counts, "word").groupBy("_key").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum("times").alias("tail_known"))
-    # rows that are alike share a key and have each added their words: they share the sum alike
-    alike = first.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    out = first.drop("words", "times").join(tail, "_key", "left").join(alike, "_key", "left")
-    rows_ = F.coalesce("_rows", F.lit(1))
+    schema = f"_row long, _first long, doc_id {id_type}, held_out boolean, n_tokens long, score double, head_sum double, head_known long, words array<string>, times array<long>, rare_u array<long>, rare_w array<long>, g long, m_h binary, m_u binary, m_w binary, m_d binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    both = written(rows.mapInPandas(score, schema))
+    first = both.where("_row is not null")
+    tail = first.where("size(words) > 0").select("_row", F.explode(F.arrays_zip("words", "times")).alias("_t")).select("_row", F.col("_t.words").alias("word"), F.col("_t.times").alias("times"))
+    tail = tail.join(counts, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum("times").alias("tail_known"))
+    packs = ["g", "_first", "m_h", "m_u", "m_w", "m_d"]
+    asked = both.where("g is not null").select(packs)
+    more = None
+    if words.least > 1:  # else the filter holds every word, and no token has a word that it can't tell of
+        rare = written(rare_tokens(first, counts, groups, model))
+        asked = asked.unionByName(rare.where("g is not null").select(packs))
+        more = rare.where("g is null").select("_row", "more")
+    gains = corrections(asked, pair_table, model).groupBy("_first").applyInPandas(added, "_row long, more double")
+    more = gains if more is None else gains.unionByName(more)
+    more = more.groupBy("_row").agg(F.sum("more").alias("more"))
+    out = first.drop("words", "times", "rare_u", "rare_w", *packs).join(tail, "_row", "left").join(more, "_row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("head_known") + F.coalesce(F.col("tail_known"), F.lit(0)) / rows_).cast("long").alias("n_known"),
+        (F.col("head_known") + F.coalesce(F.col("tail_known"), F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_sum") + F.coalesce(F.col("tail_sum"), F.lit(0.0)) / rows_ - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        "score",
+        (F.col("head_sum") + F.coalesce(F.col("tail_sum"), F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col("more"), F.lit(0.0))).alias("score"),
     )
