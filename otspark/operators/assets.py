@@ -134,5 +134,15 @@ def ot_assets(assets: DataFrame) -> DataFrame:
     return assets.withColumn("ot_signals", ot_signals()).where(F.size("ot_signals") > 0).orderBy(ip_number(F.col("ip_address")).asc_nulls_last(), "ip_address")
 
 
+def protocol_hosts(assets: DataFrame) -> DataFrame:
+    """protocol, hosts: addresses by what they speak."""
+    return assets.select(F.explode("protocols_seen").alias("protocol")).groupBy("protocol").agg(F.count("*").alias("hosts"))
+
+
+def active(assets: DataFrame) -> DataFrame:
+    """Seconds between the first and the last packet of each asset."""
+    return assets.select("ip_address", ((F.col("last_seen_us") - F.col("first_seen_us")) / 1e6).alias("active_seconds"))
+
+
 def role_counts(assets: DataFrame) -> DataFrame:
     return assets.groupBy("role").agg(F.count("*").alias("assets"), F.count_if(F.col("risk_score") > 0).alias("with_risk"))

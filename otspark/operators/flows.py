@@ -27,7 +27,9 @@ def with_gaps(packets: DataFrame) -> DataFrame:
 
 def deviation(n: Column, s: Column, s2: Column) -> Column:
     """Sample standard deviation from integer sums; 0 under two values."""
-    n_, top = n.cast("double"), (n.cast("decimal(38,0)") * s2.cast("decimal(38,0)") - s.cast("decimal(38,0)") * s.cast("decimal(38,0)")).cast("double")
+    dec = lambda c: c.cast("decimal(38,0)")
+    n_, rough = n.cast("double"), n.cast("double") * s2.cast("double") - s.cast("double") * s.cast("double")
+    top = F.coalesce(F.try_subtract(F.try_multiply(dec(n), dec(s2)), F.try_multiply(dec(s), dec(s))).cast("double"), rough)  # beyond 38 digits: as doubles
     return F.when(n > 1, F.sqrt(F.greatest(top, F.lit(0.0)) / (n_ * (n_ - 1)))).otherwise(0.0)
 
 
@@ -112,6 +114,19 @@ def flow_stats(flows: DataFrame) -> DataFrame:
     return flows.agg(F.count("*").alias("flows"), F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packets"), F.coalesce(F.sum("byte_count"), F.lit(0)).alias("bytes"), F.countDistinct("src_ip").alias("sources"), F.countDistinct("dst_ip").alias("destinations"))
 
 
+def frame_stats(flows: DataFrame) -> DataFrame:
+    """One row: flows with industrial frames, with writes, with exceptions."""
+    return flows.agg(F.count_if(F.size("ics_protocols") > 0).alias("ics_flows"), F.count_if("has_write_operations").alias("write_flows"), F.count_if(F.col("exception_count") > 0).alias("exception_flows"))
+
+
+def exported(flows: DataFrame) -> DataFrame:
+    """Flows as rows of an export: rounded figures, times as text in UTC."""
+    places = {"duration_seconds": 3, "packets_per_second": 2, "bytes_per_second": 2, "avg_packet_size": 1, "packet_length_std": 2, "avg_inter_packet_time": 6, "jitter": 6}
+    time = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    told = flows.withColumns({c: F.round(c, n) for c, n in places.items()})
+    return told.withColumn("start_time", time("start_us")).withColumn("end_time", time("end_us")).drop("start_us", "end_us", "first_file", "first_packet")
+
+
 def periodic_flows(flows: DataFrame, min_packets: int = 10, cv: float = 0.3) -> DataFrame:
     mean, std = F.col("avg_inter_packet_time"), F.col("jitter")
     return flows.where((F.col("packet_count") >= min_packets) & (F.col("ipt_count") >= min_packets - 1) & (mean > 0)).withColumn("cv", std / mean).where(F.col("cv") < cv)

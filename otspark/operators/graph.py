@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,6 @@ from otspark.functions.net import subnet
 
 #: Links that a picture shows, at most (0: all).
 MAX_EDGES = 600
-#: Hops of a path, at most: a search ends when nothing new is reached.
-MAX_HOPS = 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -95,15 +94,17 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return one.select("total_nodes", "total_edges", F.when(n > 1, F.round(m / (n * (n - 1)), 4)).otherwise(0.0).alias("density"), (F.col("_c") == 1).alias("is_connected"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """source, ip, hops, path: a shortest directed path from each source (column ip) to each address it reaches; of equal paths the first in text order.
 
-    A frontier is joined with the edges until nothing new is reached; sources are few (critical addresses).
+    A frontier is joined with the edges until nothing new is reached (or for max_hops steps); sources are few (critical addresses).
     """
     step = cut(edges.select("src_ip", "dst_ip").distinct())
     seen = cut(sources.select(F.col("ip").alias("source"), "ip", F.lit(0).alias("hops"), F.array("ip").alias("path")).distinct())
     frontier = seen
-    for n in range(1, max_hops + 1):
+    for n in count(1):
+        if max_hops is not None and n > max_hops:
+            break
         reached = frontier.join(step, frontier["ip"] == step["src_ip"]).select("source", F.col("dst_ip").alias("ip"), F.concat("path", F.array("dst_ip")).alias("path"))
         new = reached.join(seen.select("source", "ip"), ["source", "ip"], "left_anti").groupBy("source", "ip").agg(F.min("path").alias("path"))
         frontier = cut(new.select("source", "ip", F.lit(n).alias("hops"), "path"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from otspark.functions import codes
-from otspark.operators import baseline, compare, components, decode, findings, flows, graph, privacy, rules, views
+from otspark.operators import assets, baseline, bundle, compare, components, decode, findings, flows, graph, guess, privacy, rules, views
 from otspark.plans.asset_queries import ASSETS, inventory
 from otspark.plans.catalog import register
 from otspark.plans.flow_queries import KEYS
@@ -70,18 +70,12 @@ def framed(spark, sf_dir):
 def unauthorized_reads(spark, sf_dir):
     """Flows of reads by stations that an earlier capture (of the even ones) doesn't know; those that it knows are stations of operators."""
     seen = F.col("src_port") % 2 == 0
-    known = graph.cut(inventory_of(packets(spark, sf_dir).where(seen), modbus_frames(spark, sf_dir).where(seen)))
+    known = graph.cut(assets.inventory(packets(spark, sf_dir).where(seen), modbus_frames(spark, sf_dir).where(seen)))
     reads = F.col("fc").isin(1, 2, 3, 4)
     some = flows.with_frames(flows.flow_build(packets(spark, sf_dir).where(reads)), modbus_frames(spark, sf_dir).where(reads))
     return flows.unauthorized_reads(some, known).select("src_ip", "src_port", "dst_ip", F.col("packet_count").alias("packets"))
 
 
-def inventory_of(rows, frames):
-    from otspark.operators import assets
-
-    return assets.inventory(rows, frames)
-
-
 TAGS = f"""WITH {PACKETS}, {ASSETS}, tags AS (SELECT ip_address, unnest([CASE WHEN role = 'PLC' OR has(open_ports, '502') OR has(open_ports, '102') OR has(open_ports, '44818') THEN 'plc_pac' END, CASE WHEN role = 'HMI' THEN 'hmi_station' END, CASE WHEN role = 'HMI' THEN 'operator_client' END,
   CASE WHEN role = 'ENG_STATION' THEN 'engineering_workstation' END, CASE WHEN has(open_ports, '20000') THEN 'rtu' END, CASE WHEN has(open_ports, '20000') AND i > r THEN 'scada_server' END, CASE WHEN has(open_ports, '3389') THEN 'remote_access' END]) AS tag FROM assets)""".replace(
     "has(open_ports, ", "list_contains(string_split(open_ports, ','), "
@@ -277,3 +271,62 @@ def alerts(spark, sf_dir):
 @register("edge_table", f"WITH {PACKETS} SELECT src_ip, dst_ip, count(*) AS packets FROM packets WHERE dst_ip LIKE '192.168.1.%' GROUP BY ALL ORDER BY packets DESC, src_ip, dst_ip LIMIT 500")
 def edge_table(spark, sf_dir):
     return views.edge_table(baseline.edges(packets(spark, sf_dir)), "192.168.1.").select("src_ip", "dst_ip", "packets")
+
+
+# ---- flows alone, guesses, exports ----
+
+
+@register("bundle_rare_edges", f"WITH {PACKETS}, e AS (SELECT src_ip, dst_ip, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY ALL), t AS (SELECT list_sort(list(packets)) AS l FROM e) SELECT src_ip, dst_ip, packets, bytes FROM e, t WHERE packets <= l[least(CAST(floor(len(l) * 0.1) AS BIGINT), len(l) - 1) + 1] ORDER BY packets, src_ip, dst_ip LIMIT 200")
+def bundle_rare_edges(spark, sf_dir):
+    return bundle.rare_edges(bundle.edges(flows.flow_build(packets(spark, sf_dir))))
+
+
+@register("bundle_hosts", f"WITH {PACKETS}, e AS (SELECT src_ip, dst_ip, CAST(sum(length) AS BIGINT) AS bytes FROM packets GROUP BY ALL), h AS (SELECT src_ip AS ip, bytes, 1 AS peer FROM e UNION ALL SELECT dst_ip, bytes, 0 FROM e) SELECT ip, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(peer) AS BIGINT) AS peers FROM h GROUP BY ip ORDER BY 2 DESC, ip LIMIT 50")
+def bundle_hosts(spark, sf_dir):
+    return bundle.hosts(bundle.edges(flows.flow_build(packets(spark, sf_dir))))
+
+
+@register("bundle_minutes", f"WITH {PACKETS}, m AS (SELECT ts_us // 60000000 AS place, count(*) AS packets FROM packets GROUP BY 1), a AS (SELECT sum(packets) / count(*) AS mean FROM m) SELECT place, packets, packets // 60 AS packets_per_second, mean >= 5 AND packets >= 3 * mean AS spike FROM m, a")
+def bundle_minutes(spark, sf_dir):
+    by = packets(spark, sf_dir).groupBy(F.floor(F.col("ts_us") / 60_000_000).alias("place")).agg(F.count("*").alias("packets"))
+    return bundle.minutes(by)
+
+
+_CODES = f"f AS (SELECT {KEYS}, count(*) AS n, list_sort(list(DISTINCT fc)) AS codes, coalesce(list_sort(list(DISTINCT fc) FILTER (fc IN {WRITES})), []) AS writes FROM packets GROUP BY {KEYS})"
+
+
+@register("bundle_commands", f"WITH {PACKETS}, {_CODES}, s AS (SELECT unnest(codes) AS function_code, greatest(1, n // greatest(1, len(codes))) AS k FROM f UNION ALL SELECT unnest(writes), greatest(1, n // greatest(1, len(writes))) FROM f), c AS (SELECT function_code, CAST(sum(k) AS BIGINT) AS requests FROM s GROUP BY 1), t AS (SELECT sum(requests) AS total FROM c) SELECT function_code, requests, requests <= greatest(1, CAST(floor(total * 0.002) AS BIGINT)) AS rare, 100.0 * requests / total < 1 AS uncommon FROM c, t")
+def bundle_commands(spark, sf_dir):
+    return bundle.commands(framed(spark, sf_dir)).select("function_code", "requests", "rare", "uncommon")
+
+
+@register("bundle_totals", f"WITH {PACKETS}, {_CODES} SELECT CAST(coalesce(sum(n) FILTER (len(writes) > 0), 0) AS BIGINT) AS write_like, CAST(coalesce(sum(n) FILTER (len(writes) = 0), 0) AS BIGINT) AS read_like, CAST(0 AS BIGINT) AS other_like, count(DISTINCT src_ip) FILTER (len(writes) > 0) AS write_sources FROM f")
+def bundle_totals(spark, sf_dir):
+    return bundle.command_totals(framed(spark, sf_dir))
+
+
+@register("guessed_protocols", f"WITH {WIRE_SQL} SELECT packet_number, slug AS port_guess, CASE slug WHEN 'snmp' THEN 'mqtt' ELSE slug END AS payload_guess FROM wire WHERE slug NOT IN ('ge_srtp', 'omron_fins')")
+def guessed_protocols(spark, sf_dir):
+    """A short SNMP request has the shape of an MQTT packet too, which is tried first."""
+    rows = guess.guessed(wire(spark, sf_dir).where("k < 8"))
+    return rows.select("packet_number", "port_guess", "payload_guess")
+
+
+@register("flow_frame_stats", f"WITH {PACKETS}, {_CODES} SELECT count(*) AS ics_flows, count(*) FILTER (len(writes) > 0) AS write_flows, CAST(0 AS BIGINT) AS exception_flows FROM f")
+def flow_frame_stats(spark, sf_dir):
+    return flows.frame_stats(framed(spark, sf_dir))
+
+
+@register("protocol_hosts", f"WITH {PACKETS} SELECT 'Modbus' AS protocol, count(DISTINCT ip) AS hosts FROM (SELECT src_ip AS ip FROM packets UNION ALL SELECT dst_ip FROM packets)")
+def protocol_hosts(spark, sf_dir):
+    return assets.protocol_hosts(inventory(spark, sf_dir))
+
+
+@register("exported_flows", f"WITH {PACKETS} SELECT src_ip, src_port, dst_ip, strftime(make_timestamp(min(ts_us)), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS start_time, strftime(make_timestamp(max(ts_us)), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS end_time FROM packets GROUP BY {KEYS}")
+def exported_flows(spark, sf_dir):
+    return flows.exported(flows.flow_build(packets(spark, sf_dir))).select("src_ip", "src_port", "dst_ip", "start_time", "end_time")
+
+
+@register("active_assets", f"WITH {PACKETS}, h AS (SELECT src_ip AS ip_address, ts_us FROM packets UNION ALL SELECT dst_ip, ts_us FROM packets) SELECT ip_address, (max(ts_us) - min(ts_us)) / 1e6 AS active_seconds FROM h GROUP BY 1")
+def active_assets(spark, sf_dir):
+    return assets.active(assets.asset_build(packets(spark, sf_dir)))

@@ -163,6 +163,16 @@ def packets(found: DataFrame) -> DataFrame:
     ).withColumn("payload_length", F.coalesce(F.length("payload"), F.lit(0)))
 
 
+#: Bytes of a payload that a light record keeps.
+LIGHT_PAYLOAD = 4096
+
+
+def light(packets: DataFrame, most: int = LIGHT_PAYLOAD) -> DataFrame:
+    """Light records for behaviour over time: packets with an IP layer, its length, ports of TCP and UDP, the first bytes of the payload and its whole length."""
+    proto = F.when(F.col("transport") == "TCP", "tcp").when(F.col("transport") == "UDP", "udp").when(F.col("ip_proto").isin(1, 58), "icmp").otherwise("other")
+    return packets.where("ip_version in (4, 6)").select("file_idx", "packet_number", "ts_us", (F.col("ts_us") / 1e6).alias("ts"), "src_ip", "dst_ip", "ip_version", proto.alias("proto"), "ip_proto", F.col("l3_length").alias("length"), "src_port", "dst_port", "transport", F.substring("payload", 1, most).alias("payload"), F.coalesce(F.length("payload"), F.lit(0)).alias("payload_length"))
+
+
 def address(octets: Column, l3: Column, v4: int, v6: int) -> Column:
     """IPv4 as dotted text; IPv6 as eight groups of hex digits without leading zeros."""
     four = F.concat_ws(".", *[u8(octets, l3 + v4 + i).cast("string") for i in range(4)])

@@ -54,6 +54,9 @@ def test_formats(spark, tmp_path):
     framed = decode.decode(kept, ["modbus"])
     assert [r.rule_id for r in rules.events(framed).collect()] == ["MB-001", "MB-001"]
     assert flows.flow_build(kept).first().packet_count == 3
+    small = capture.light(kept, 4).where("payload_length > 0").first()
+    assert (bytes(small.payload), small.payload_length, small.proto, small.length) == (BODY[:4], 12, "tcp", 52)
+    assert flows.exported(flows.flow_build(kept)).first().start_time == "1970-01-01T00:16:40.000005+00:00"
 
 
 def test_graph(spark):
@@ -62,6 +65,10 @@ def test_graph(spark):
     paths = {r.ip: r.path for r in graph.hops(edges, spark.createDataFrame([("a",)], "ip string")).collect()}
     assert paths == {"a": ["a"], "b": ["a", "b"], "c": ["a", "c"], "d": ["a", "c", "d"]}
     assert graph.smallest_reachable(edges.limit(0)).count() == 0
+    long = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(12)], "src_ip string, dst_ip string")
+    ends = graph.hops(long, spark.createDataFrame([("n000",)], "ip string"))
+    assert ends.agg({"hops": "max"}).first()[0] == 12
+    assert graph.hops(long, spark.createDataFrame([("n000",)], "ip string"), max_hops=3).count() == 4
 
 
 def test_rule_clauses(spark):
