@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from otspark.llm import decontamination, flac, html_text, lm_score, pii, simhash_dedup, source_mix, substring_dedup, token_counts, toxicity
 from otspark.llm.common import table
@@ -56,9 +57,33 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(table(spark, sf_dir, "documents"))
 
 
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 gives that SQL can give too: sizes and targets."""
+    return op6_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def llm_pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 gives that SQL can give too: counts of the base kinds."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_html_text, op3_lm_score, op4_decontamination, op5_pii, op6_source_mix, op7_toxicity, op8_substring_dedup, op9_simhash_components, op10_flac_media)
+    f.__name__: f for f in (op1_token_counts, op2_html_text, op3_lm_score, op4_decontamination, op5_pii, op6_source_mix, op7_toxicity, op8_substring_dedup, op9_simhash_components, op10_flac_media, llm_mix_targets, llm_pii_base)
 }
 
-#: SQL where it can express the whole result; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(generate_series(1, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INTEGER) ELSE 2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INTEGER) // 10 + 2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INTEGER) % 10 END)) % 10 = 0"
+#: SQL where it can express all columns; the operators' other columns are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    # the level of the targets is the largest of those that hold when the sources that stop first have stopped, for each number of these
+    "llm_mix_targets": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+      s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+      w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(source_size) OVER () AS total FROM s),
+      k AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped, sum(weight) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+      l AS (SELECT max((1.5 * total - stopped) / open) AS level FROM k)
+      SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(CAST(least(2.0 * source_size, level * weight) AS DOUBLE), 3) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l""",
+    "llm_pii_base": f"""SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+      CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST(right('000' || p, 3) AS INTEGER) > 255)) = 0)) AS BIGINT) AS n_ip,
+      CAST(len(list_filter(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN})) AS BIGINT) AS n_card,
+      CAST(len(list_filter(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+}
