@@ -4,7 +4,8 @@ Every text gets a 64-bit fingerprint. The distinct fingerprints are dealt to
 shards by a vantage-point tree over a bounded sample: a node sends a fingerprint
 to its near or far side by its Hamming distance from a vantage point. A query
 goes to every shard that the triangle bound leaves open (the sides within the
-radius of a boundary), so no pair within the radius is missed. Each shard builds
+radius of a boundary), so no pair within the radius is missed. Shards that turn out too large are dealt again, by trees of
+their own. Each shard builds
 its own vantage-point tree over its home fingerprints, searches it for its
 queries, and gives out a spanning forest of the links it found, never all pairs
 of a group. Components come from rounds of neighbour contraction on the
@@ -34,6 +35,8 @@ from otspark.llm.common import text_of, whole, written
 SAMPLE = 4096
 #: Distinct fingerprints that a shard shall hold.
 SHARD = 20000
+#: Points of an oversized shard that its own tree is built from, about.
+NODE_SAMPLE = 512
 #: Below this many points a node of a shard's own tree is searched as a whole.
 LEAF = 192
 
@@ -164,23 +167,57 @@ def linked(points: np.ndarray, radius: int, seed: int = 0) -> list[tuple[int, in
     return out
 
 
-def links(distinct: DataFrame, *, radius: int = 2, seed: int = 7) -> DataFrame:
+def split_again(shards: DataFrame, radius: int, seed: int, shard: int, rounds: int = 12) -> DataFrame:
+    """Shards of over twice `shard` points are dealt by a tree of their own, until there are none.
+
+    Each such shard's tree comes from about NODE_SAMPLE of its points, which travel as one row a shard (beside its points by a
+    join), never to the driver. A round makes shards smaller by a constant factor; points within a few bits of each other,
+    which no cut parts, are at most a few thousand.
+    """
+    for turn in range(rounds):
+        sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+        if sizes.isEmpty():
+            break
+        few = F.pmod(F.xxhash64("fp", F.lit(seed + turn)), F.ceil(F.col("n") / NODE_SAMPLE)) == 0
+        trees = written(shards.join(sizes, "shard").where(few).groupBy("shard").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("fp")).alias("points")))
+
+        def deal(batches: Iterator[pd.DataFrame], turn: int = turn) -> Iterator[pd.DataFrame]:
+            known: dict[int, object] = {}
+            for b in batches:
+                for at, part in b.groupby("shard"):
+                    points = part.fp.to_numpy(np.int64).view(np.uint64)
+                    of = part.points.iloc[0]
+                    if of is None:
+                        yield pd.DataFrame({"shard": part.shard, "fp": part.fp})
+                        continue
+                    if at not in known:
+                        known = {at: top_tree(np.array(of, np.int64).view(np.uint64), min(NODE_SAMPLE // 4, -(-int(part.n.iloc[0]) // shard)), seed + turn)}
+                    rows, leaves = dealt(points, known[at], radius)
+                    name = xxhash.xxh64_intdigest(f"{at}/{turn}") >> 1
+                    yield pd.DataFrame({"shard": (name + leaves.astype(np.int64)), "fp": points[rows].view(np.int64)})
+
+        shards = written(shards.join(trees, "shard", "left").select("shard", "fp", "n", "points").mapInPandas(deal, "shard long, fp long"))
+    return shards
+
+
+def links(distinct: DataFrame, *, radius: int = 2, seed: int = 7, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """a < b: links between distinct fingerprints (column fp) whose closure is that of all links within the radius.
 
-    The driver gets a count and a sample of at most SAMPLE fingerprints; the tree over the shards is built from it and
-    goes to the workers. Fingerprints need not be like the sample: the bounds hold for any point.
+    The driver gets a count and a sample of at most `sample` fingerprints; the tree over the first shards is built from it and
+    goes to the workers. Fingerprints need not be like the sample: the bounds hold for any point, and shards that turn out
+    too large are split again.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    some = distinct.where(F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(max(1, n // SAMPLE))) == 0).limit(SAMPLE) if n else distinct.limit(0)
-    sample = np.sort(np.array([r.fp for r in some.collect()], np.int64)).view(np.uint64)
-    tree = spark.sparkContext.broadcast(top_tree(sample, -(-n // SHARD), seed))
+    some = distinct.where(F.pmod(F.xxhash64("fp", F.lit(seed)), F.lit(max(1, n // sample))) == 0).limit(sample) if n else distinct.limit(0)
+    points = np.sort(np.array([r.fp for r in some.collect()], np.int64)).view(np.uint64)
+    tree = spark.sparkContext.broadcast(top_tree(points, min(-(-n // shard), max(1, sample // 4)), seed))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             points = b.fp.to_numpy(np.int64).view(np.uint64)
             rows, shards = dealt(points, tree.value, radius)
-            yield pd.DataFrame({"shard": shards, "fp": points[rows].view(np.int64)})
+            yield pd.DataFrame({"shard": shards.astype(np.int64), "fp": points[rows].view(np.int64)})
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
         points = b.fp.to_numpy(np.int64).view(np.uint64)
@@ -188,7 +225,7 @@ def links(distinct: DataFrame, *, radius: int = 2, seed: int = 7) -> DataFrame:
         ends = points[np.array(found, np.int64).reshape(-1, 2)].view(np.int64)
         return pd.DataFrame({"a": ends.min(1), "b": ends.max(1)})
 
-    shards = distinct.mapInPandas(deal, "shard int, fp long")
+    shards = split_again(written(distinct.mapInPandas(deal, "shard long, fp long")), radius, seed, shard)
     return shards.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
