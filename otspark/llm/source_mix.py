@@ -87,10 +87,11 @@ def divisor(parties: DataFrame, votes: str, seats: int) -> float:
 
 
 def mixed(
-    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 11
+    docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 11, row_col: str | None = None
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    rows = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("_source"), word_count(text_of(docs, text_col)).alias("size"), F.xxhash64(docs[id_col], text_of(docs, text_col), F.lit(seed)).alias("_hash")))
+    """One row per document: doc_id, size, source_size, target (of its source), taken (words, repeats counted); row_col is kept beside."""
+    kept = [row_col] if row_col else []
+    rows = written(docs.select(*kept, docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("_source"), word_count(text_of(docs, text_col)).alias("size"), F.xxhash64(docs[id_col], text_of(docs, text_col), F.lit(seed)).alias("_hash")))
     sources = rows.groupBy("_source").agg(F.sum("size").alias("_size"))
     sources = written(with_targets(sources, weights, share, most).withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(shard_words)))))
     # the hash is of id and text: rows of one id (or none) do not pile up in a shard
@@ -107,7 +108,7 @@ def mixed(
     primes = F.array(*[F.lit(p) for p in (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)])
     key = F.xxhash64("_source", "_shard", F.lit(seed + 1))
     quotas = shards.select(F.col("_source").alias("_of"), F.col("_shard").alias("_shard2"), blocks.alias("_blocks"), quota.alias("_quota"), F.element_at(primes, (F.pmod(key, F.lit(8)) + 1).cast("int")).cast("long").alias("_prime"), F.pmod(key, blocks).alias("_shift"))
-    stream = Window.partitionBy("_source", "_shard").orderBy("_hash", "doc_id", "size")
+    stream = Window.partitionBy("_source", "_shard").orderBy("_hash", "doc_id", "size", *kept)
     at = placed.withColumn("_from", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     at = at.join(quotas, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_shard") == F.col("_shard2")), "left")
     b, end = F.lit(block), F.col("_from") + F.col("size")
@@ -115,20 +116,21 @@ def mixed(
     part = lambda j: (F.least(end, (j + 1) * b) - F.greatest(F.col("_from"), j * b)) * times(j)
     run = F.sequence(F.floor(F.col("_from") / b), F.floor((end - 1) / b))
     taken = F.when((F.col("size") > 0) & F.col("_quota").isNotNull(), F.aggregate(run, F.lit(0).cast("long"), lambda got, j: got + part(j))).otherwise(F.lit(0).cast("long"))
-    return at.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return at.select(*kept, "doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def selected(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of which the mix takes any words, with size, source_size, target and taken (all columns stay).
+    """The documents of which the mix takes any words: all columns as they are, and size, source_size, target, taken.
 
-    Rows alike in id, text and source are one share each: they are told apart by a number among their like.
+    The rows are written with a number each, by which they meet their share again: rows that are alike are told apart, and
+    reruns of a lost task read the same numbers. An added column whose name the caller has itself gets mix_ before it.
     """
     source = options.pop("source_col", "source")
-    key = F.xxhash64(docs[id_col], text_of(docs, text_col), docs[source])
-    numbered = Window.partitionBy("_key").orderBy("_key")
-    keyed = docs.select(whole(docs), key.alias("_key"), docs[source].alias("_source"), docs[text_col].alias("_text"))
-    share = mixed(keyed, text_col="_text", id_col="_key", source_col="_source", **options).withColumnRenamed("doc_id", "_key")
-    share = share.withColumn("_nth", F.row_number().over(numbered)).where("taken > 0")
-    rows = keyed.select("_doc", "_key").withColumn("_nth", F.row_number().over(numbered)).join(share, ["_key", "_nth"])
-    added = ["size", "source_size", "target", "taken"]
-    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
+    keyed = written(docs.select(whole(docs), F.monotonically_increasing_id().alias("_n"), docs[id_col].alias("_id"), docs[source].alias("_source"), docs[text_col].alias("_text")))
+    # the number decides between rows alike in id and text alone: a row's place in the stream goes by a hash of id and text
+    share = mixed(keyed, text_col="_text", id_col="_id", source_col="_source", row_col="_n", **options).where("taken > 0")
+    rows = keyed.select("_doc", "_n").join(share, "_n")
+    added = {c: c for c in ("size", "source_size", "target", "taken")}
+    while set(added.values()) & set(docs.columns):
+        added = {c: "mix_" + name if name in docs.columns else name for c, name in added.items()}
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns], *[F.col(c).alias(name) for c, name in added.items()])
