@@ -1,15 +1,18 @@
 """Benchmark decontamination with DataFrame operations only.
 
 Windows of a text that are as long as a benchmark item get SimHash fingerprints,
-which meet the fingerprints of the items of that length through multi-index
-Hamming blocks: RADIUS + 1 blocks, of which at least one must be equal in any two
-fingerprints within the radius. Candidates within the radius are then verified by
+which meet the fingerprints of the items whose shingles they hold through
+multi-index Hamming blocks: RADIUS + 1 blocks, of which at least one must be equal
+in any two fingerprints within the radius. Candidates within the radius are then verified by
 the exact weighted similarity of their shingles (weights: how often each occurs;
 sum of minima over sum of maxima).
 
 Windows start where a shingle of five words that the text shares with any item
 lines up with it, and up to SLACK words beside that: a window without such a
-shingle has similarity zero, so none is lost. Texts are read twice, once to find
+shingle has similarity zero. What can be missed: of an item of over a hundred words
+with words both cut at its ends and put into its middle the best window may lie
+further from every shingle, and about one in a thousand windows at similarity 0.8
+lies beyond the radius. Texts are read twice, once to find
 the shared shingles and once, for texts that have any, to form windows; only keys
 and numbers are shuffled. The benchmark's shingles are broadcast while they are at
 most BROADCAST_ROWS (8 bytes each and an item number), and joined by a shuffle beyond.
@@ -91,42 +94,46 @@ def items_of(benchmark: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return s.withColumn("item_print", simhash(F.col("item_shingles")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", least: float = SIMILARITY, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start_word, n_words, similarity (best window), _key."""
-    items = written(items_of(benchmark, item_text, item_id))
+    items = written(items_of(benchmark, item_text, item_id).withColumn("_no", F.monotonically_increasing_id()))
     key = F.xxhash64(docs[id_col], text_of(docs, text_col))
     base = docs.select(docs[id_col].alias("doc_id"), key.alias("_key"), word_hashes(text_of(docs, text_col)).alias("_h"))
-    lengths = items.groupBy("width").count().collect()  # at most SHINGLE rows
+    sizes = items.groupBy("width").agg(F.count("*").alias("n"), F.sum(F.size("item_shingles")).alias("shingles")).collect()  # at most SHINGLE rows
+    small = sum(r.shingles for r in sizes) <= broadcast_rows
     seeds = None
-    for width in sorted(r.width for r in lengths):
-        at = items.where(F.col("width") == width).select("length", F.posexplode("item_shingles").alias("_q", "_s"))
-        at = at.distinct()
-        if sum(r["count"] for r in lengths) <= BROADCAST_ROWS and at.count() <= BROADCAST_ROWS:
-            at = F.broadcast(at)
+    for width in sorted(r.width for r in sizes):
+        at = items.where(F.col("width") == width).select("_no", "length", F.posexplode("item_shingles").alias("_q", "_s"))
         runs = base.select("doc_id", "_key", F.size("_h").alias("_n"), F.posexplode(shingles(F.col("_h"), width)).alias("_p", "_s"))
-        found = runs.join(at, "_s").select("doc_id", "_key", "length", F.lit(width).alias("width"), "_n", (F.col("_p") - F.col("_q")).alias("_at"))
+        found = runs.join(F.broadcast(at) if small else at, "_s").select("doc_id", "_key", "_no", "length", F.lit(width).alias("width"), "_n", (F.col("_p") - F.col("_q")).alias("_at"))
         seeds = found if seeds is None else seeds.unionByName(found)
     if seeds is None:
         return base.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"), "_key").limit(0)
+    offset = F.greatest(F.lit(0), F.least(F.col("_at"), F.col("_n") - F.col("length")))
+    spans = seeds.select("doc_id", "_key", "_no", "length", "width", "_n", offset.alias("_at")).distinct()
     slack = F.explode(F.sequence(F.lit(-SLACK), F.lit(SLACK))).alias("_d")
-    near = seeds.distinct().select("*", slack).withColumn("_at", F.greatest(F.lit(0), F.least(F.col("_at") + F.col("_d"), F.col("_n") - F.col("length"))))
-    starts = written(near.select("doc_id", "_key", "length", "width", "_at").distinct().groupBy("doc_id", "_key").agg(F.collect_list(F.struct("length", "width", F.col("_at").alias("at"))).alias("_w")))
-    wanted = starts if starts.count() > BROADCAST_ROWS // 10 else F.broadcast(starts)
+    near = spans.select("*", slack).withColumn("_at", F.greatest(F.lit(0), F.least(F.col("_at") + F.col("_d"), F.col("_n") - F.col("length"))))
+    pairs = written(near.select("doc_id", "_key", "_no", "length", "width", "_at").distinct())
+    places = pairs.select("doc_id", "_key", "length", "width", "_at").distinct()
+    starts = written(places.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("length", "width", F.col("_at").alias("at"))).alias("_w")))
+    wanted = starts if starts.count() > broadcast_rows // 10 else F.broadcast(starts)
     # one row of each (id, text): copies of a row have equal windows
-    texts = base.withColumnRenamed("doc_id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (base["_key"] == starts["_key"])).select("doc_id", starts["_key"].alias("_key"), "_h", "_w")
-    windows = texts.select("doc_id", "_key", "_h", F.explode("_w").alias("_w")).select(
-        "doc_id", "_key", F.col("_w.length").alias("length"), F.col("_w.at").alias("_at"), shingles(F.slice("_h", F.col("_w.at") + 1, F.col("_w.length")), F.col("_w.width")).alias("_s")
+    texts = base.withColumnRenamed("doc_id", "_id").join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (base["_key"] == starts["_key"])).select(starts["_key"].alias("_key"), "_h", "_w")
+    windows = texts.select("_key", "_h", F.explode("_w").alias("_w")).select(
+        "_key", F.col("_w.length").alias("length"), F.col("_w.at").alias("_at"), shingles(F.slice("_h", F.col("_w.at") + 1, F.col("_w.length")), F.col("_w.width")).alias("_s")
     )
-    windows = written(windows.where("size(_s) > 0").distinct().withColumn("_f", simhash(F.col("_s"))))
-    probes = windows.select("doc_id", "_key", "length", "_at", "_f", F.inline(blocks(F.col("_f"), radius)))
-    known = items.select("item_id", "length", "item_print", F.inline(blocks(F.col("item_print"), radius)))
-    if sum(r["count"] for r in lengths) * (radius + 1) <= BROADCAST_ROWS:
+    windows = written(windows.where("size(_s) > 0").dropDuplicates(["_key", "length", "_at"]).withColumn("_f", simhash(F.col("_s"))))
+    # blocks meet within the seeded pairs of window and item alone: a window has as many candidates as items whose shingles it holds
+    place = ["_key", "length", "_at"]
+    seeded = pairs.join(windows.select(*place, "_f"), place)
+    probes = seeded.select("doc_id", *place, "_no", "_f", F.inline(blocks(F.col("_f"), radius)))
+    known = items.select("_no", "item_print", F.inline(blocks(F.col("item_print"), radius)))
+    if sum(r.n for r in sizes) * (radius + 1) <= broadcast_rows:
         known = F.broadcast(known)
-    met = probes.join(known, ["length", "block", "bits"]).where(F.bit_count(F.col("_f").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = met.select("doc_id", "_key", "length", "_at", "item_id").distinct()
-    full = pairs.join(windows.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_key2"), F.col("length").alias("_l"), F.col("_at").alias("_at2"), "_s"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_key2")) & (F.col("length") == F.col("_l")) & (F.col("_at") == F.col("_at2")))
-    shown = items.select(F.col("item_id").alias("_item"), "item_shingles")
-    scored = full.join(shown, F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("similarity", similarity(F.col("_s"), F.col("item_shingles"))).where(F.col("similarity") >= least)
+    met = probes.join(known, ["_no", "block", "bits"]).where(F.bit_count(F.col("_f").bitwiseXOR(F.col("item_print"))) <= radius).select("doc_id", *place, "_no").distinct()
+    shown = items.select("_no", "item_id", "item_shingles")
+    full = met.join(windows.select(*place, "_s"), place).join(F.broadcast(shown) if small else shown, "_no")
+    scored = full.withColumn("similarity", similarity(F.col("_s"), F.col("item_shingles"))).where(F.col("similarity") >= least)
     best = scored.groupBy("doc_id", "_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("_at")).alias("_at"), "length")).alias("_b"))
     return best.select("doc_id", "item_id", (-F.col("_b._at")).alias("start_word"), F.col("_b.length").alias("n_words"), F.col("_b.similarity").alias("similarity"), "_key")
 
