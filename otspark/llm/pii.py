@@ -37,6 +37,8 @@ KINDS = BASE + ADDED
 ORDER = {k: i for i, k in enumerate(KINDS)}
 #: Tokens of a span, at most.
 LONGEST = 20
+#: Digits of a number of any kind, at most (cards have 19, the longest), with some room; a longer run of digits is none.
+MOST_DIGITS = 24
 #: Labelled sequences that the field is trained on.
 TRAINING = 900
 
@@ -48,6 +50,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
 SPACES = re.compile(r"\s")
+DIGIT = re.compile(r"\d")
+NUMERIC = re.compile(r"[0-9 ().+-]+")
 TOKEN = re.compile(r"[A-Za-z0-9_]+|\s+|.", re.S)
 
 
@@ -144,11 +148,14 @@ def candidates(text: str, toks: list[tuple[int, int]], before: str) -> dict[tupl
     """Features by (first token, token after the last) of each span that could be an entity."""
     out = {}
     lead = before
+    digits = [0]
+    for a, b in toks:
+        digits.append(digits[-1] + len(DIGIT.findall(text, a, b)))
     for i, (a, _) in enumerate(toks):
         c = text[a]
         if not (c.isalnum() or c == "+"):
             continue
-        ctx = (lead + text[toks[0][0] : a])[-24:].lower()
+        ctx = (lead + text[max(toks[0][0], a - 24) : a])[-24:].lower()
         for j in range(i + 1, min(i + LONGEST, len(toks)) + 1):
             s = text[a : toks[j - 1][1]]
             if s[-1].isspace():
@@ -158,10 +165,10 @@ def candidates(text: str, toks: list[tuple[int, int]], before: str) -> dict[tupl
             if not s[-1].isalnum():
                 continue
             one = j == i + 1
-            n = sum(ch.isdigit() for ch in s[:64])
-            if (one and len(s) >= 8 and n) or s.count("@") == 1 or (n >= 7 and all(ch in "0123456789 -+()." for ch in s)):
+            n = digits[j] - digits[i]
+            if (one and len(s) >= 8 and n) or s.count("@") == 1 or (7 <= n <= MOST_DIGITS and NUMERIC.fullmatch(s)):
                 out[i, j] = span_features(s, ctx)
-            if len(s) > 400 or s.count("@") > 1:
+            if len(s) > 400 or s.count("@") > 1 or n > MOST_DIGITS:
                 break
     return out
 
