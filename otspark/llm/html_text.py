@@ -21,7 +21,8 @@ import html as entities
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ from otspark.llm.common import text_of
 #: Labelled pages that the field is trained on.
 PAGES = 500
 HASHED = 1 << 15
-#: Paths and text shapes whose score a worker remembers.
+#: Weights are added up in this part of one, as whole numbers, so that sums don't depend on their order.
+UNIT = 1 << 24
+#: Features and text shapes whose score a worker remembers.
 REMEMBERED = 200_000
 
 # fixed values: elements whose content is not text, that stand alone, that do not end a block
@@ -51,12 +54,60 @@ NAME = re.compile(r"[a-z]+")
 
 
 class Block:
+    """Text of a leaf block, what its ancestors say (their features, or what these add up to), and its shape."""
+
     __slots__ = ("text", "path", "shape")
 
-    def __init__(self, text: str, path: tuple[str, ...], shape: tuple):
+    def __init__(self, text: str, path, shape: tuple):
         self.text, self.path, self.shape = text, path, shape
 
 
+class Ancestors:
+    """Open elements. `says` turns a feature into what counts of it: a number, which is added up while the stack grows and
+    shrinks, so that a block costs the same at any depth; without it a block gets the list of its features."""
+
+    def __init__(self, says: Callable[[str], int] | None = None):
+        self.says = says
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.active: Counter = Counter()
+        self.open: Counter = Counter()
+        self.total = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        features = tuple({f"in:{tag}", *(f"name:{w}" for w in names)})
+        self.stack.append((tag, features))
+        self.open[tag] += 1
+        for f in features:
+            self.active[f] += 1
+            if self.says and self.active[f] == 1:
+                self.total += self.says(f)
+
+    def pop(self) -> None:
+        tag, features = self.stack.pop()
+        self.open[tag] -= 1
+        for f in features:
+            self.active[f] -= 1
+            if not self.active[f]:
+                del self.active[f]
+                if self.says:
+                    self.total -= self.says(f)
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of that tag and all within it; nothing if there is none."""
+        if self.open[tag]:
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop()
+
+    def top(self) -> str | None:
+        return self.stack[-1][0] if self.stack else None
+
+    def path(self):
+        last = [tag for tag, _ in self.stack[-2:]]
+        ends = [f"last:{last[-1] if last else ''}", f"two:{' '.join(last)}", f"article:{bool(self.open['article'] or self.open['main'])}"]
+        return self.total + sum(map(self.says, ends)) if self.says else sorted([*self.active, *ends])
+
+
 def names_of(attributes: str) -> tuple[str, ...]:
     """Words of the class, id and role of a tag, and whether it is hidden."""
     out = []
@@ -69,10 +120,10 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order."""
+def blocks(page: str, says: Callable[[str], int] | None = None) -> list[Block]:
+    """Leaf blocks in page order; `says` as for Ancestors."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, and what it adds to the path
+    above = Ancestors(says)
     parts: list[str] = []
     link, linked, at, n = 0, 0, 0, len(page)
     never: set[str] = set()
@@ -82,7 +133,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(x for _, x in stack), shape_of(text, linked)))
+                out.append(Block(text, above.path(), shape_of(text, linked)))
             parts.clear()
         linked = 0
 
@@ -127,10 +178,7 @@ def blocks(page: str) -> list[Block]:
             if tag in INLINE:
                 continue
             end()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            above.close(tag)
             continue
         if tag in SILENT:
             if tag not in INLINE and tag not in ("button", "select"):
@@ -155,15 +203,13 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in ENDS_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            close_to(stack, tag)
-        stack.append((tag, " ".join((tag, *names_of(m[3])))))
-        if len(stack) > 400:
-            del stack[200:201]
+            close_to(above, tag)
+        above.push(tag, names_of(m[3]))
     end()
     return out
 
 
-def close_to(stack: list[tuple[str, str]], tag: str) -> None:
+def close_to(above: Ancestors, tag: str) -> None:
     """Closes what an opening tag ends: a paragraph, or an item of the same list or row."""
     ends, walls = ("p",), ()
     if tag == "li":
@@ -174,8 +220,8 @@ def close_to(stack: list[tuple[str, str]], tag: str) -> None:
         ends, walls = ("p", "td", "th"), ("tr", "table")
     elif tag == "tr":
         ends, walls = ("p", "td", "th", "tr"), ("table",)
-    while stack and stack[-1][0] in ends and stack[-1][0] not in walls:
-        stack.pop()
+    while above.top() in ends and above.top() not in walls:
+        above.pop()
 
 
 def shape_of(text: str, linked: int) -> tuple:
@@ -191,17 +237,6 @@ def shape_of(text: str, linked: int) -> tuple:
     )
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    out = []
-    tags = [p.split(" ", 1)[0] for p in path]
-    for i, p in enumerate(path):
-        for w in set(p.split(" ")[1:]):
-            out.append(f"name:{w}")
-        out.append(f"in:{tags[i]}")
-    out += [f"last:{tags[-1]}" if tags else "last:", f"two:{' '.join(tags[-2:])}", f"article:{'article' in tags or 'main' in tags}"]
-    return sorted(set(out))
-
-
 def shape_features(shape: tuple) -> list[str]:
     words, link, last, marks, mark, upper = shape
     return [f"words:{words}", f"link:{link}", f"last:{last}:{words > 3}", f"marks:{marks}", f"copyright:{mark}", f"upper:{upper}", "bias"]
@@ -333,7 +368,7 @@ def train() -> Model:
             hit = at < len(want) and b.text == want[at]
             at += hit
             tags.append(int(hit))
-            rows.append(hashed(path_features(b.path) + shape_features(b.shape)))
+            rows.append(hashed(b.path + shape_features(b.shape)))
         lengths.append(len(found))
     width = max(map(len, rows))
     feats = np.zeros((len(rows), width), np.int64)  # 0: nothing; its weight is set to 0 in the end
@@ -348,20 +383,28 @@ def train() -> Model:
 
 
 def extractor(model: Model):
-    """A function from whole html to its main text; it remembers the scores of paths between calls."""
-    known: dict[tuple, float] = {}
-
-    def score(key: tuple, features, of) -> float:
-        if len(known) > REMEMBERED:
-            known.clear()
-        s = known.get(key)
-        if s is None:
-            s = known[key] = float(model.weights[hashed(features(of))].sum())
-        return s
+    """A function from whole html to its main text; it remembers the weights of features and shapes between calls."""
+    known: dict[str, int] = {}
+    shapes: dict[tuple, float] = {}
+
+    def says(feature: str) -> int:
+        w = known.get(feature)
+        if w is None:
+            if len(known) > REMEMBERED:
+                known.clear()
+            w = known[feature] = round(float(model.weights[hashed([feature])[0]]) * UNIT)
+        return w
+
+    def of_shape(shape: tuple) -> float:
+        if shape not in shapes:
+            if len(shapes) > REMEMBERED:
+                shapes.clear()
+            shapes[shape] = float(model.weights[hashed(shape_features(shape))].sum())
+        return shapes[shape]
 
     def extract(page: str | None) -> str:
-        found = blocks(page or "")
-        emission = [score(("p", b.path), path_features, b.path) + score(("s", b.shape), shape_features, b.shape) for b in found]
+        found = blocks(page or "", says)
+        emission = [b.path / UNIT + of_shape(b.shape) for b in found]
         return " ".join(b.text for b, tag in zip(found, viterbi(emission, model.transitions)) if tag)
 
     return extract
