@@ -316,9 +316,11 @@ def stream_info(data: bytes) -> tuple[dict, int]:
     return info, at
 
 
-def frames(data: bytes, check_md5: bool = True) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first sample, first byte, samples by channel) of each frame, checksums verified."""
+def frames(data: bytes, check_md5: bool = True, start: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first sample, first byte, samples by channel) of each frame, checksums verified; from the frame at byte `start` on, with sample numbers from there, if it is given."""
     info, at = stream_info(data)
+    if start is not None:
+        at, check_md5 = start, False
     sizes = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
     widths = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
     md5, done = hashlib.md5(), 0
@@ -359,7 +361,7 @@ def frames(data: bytes, check_md5: bool = True) -> Iterator[tuple[int, int, np.n
         yield done, at, samples
         done += n
         at += end + 2
-    if info["samples"] and done != info["samples"] or check_md5 and any(info["md5"]) and md5.digest() != info["md5"]:
+    if start is None and info["samples"] and done != info["samples"] or check_md5 and any(info["md5"]) and md5.digest() != info["md5"]:
         raise FlacError("the samples are not those that were stored")
 
 
@@ -394,46 +396,88 @@ def media(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") ->
     return docs.select(docs[id_col].alias("doc_id"), stored(text_of(docs, text_col)).alias("media"))
 
 
-def pcm_blocks(df: DataFrame, *, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
-    """One row per frame: doc_id, block, sample_offset, byte_offset, n_samples, channels, bits, rate, pcm."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def pcm_blocks(df: DataFrame, *, media_col: str = "media", id_col: str = "doc_id", beside: tuple[str, ...] = ()) -> DataFrame:
+    """One row per frame, those of a row one after the other: doc_id, block, last, sample_offset, byte_offset, n_samples, channels, bits, rate, pcm; columns to keep beside them."""
+    kept = [df.schema[c] for c in (id_col, *beside)]
+    names = ["doc_id", *beside, "block", "last", "sample_offset", "byte_offset", "n_samples", "channels", "bits", "rate", "pcm"]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "block", "sample_offset", "byte_offset", "n_samples", "channels", "bits", "rate", "pcm"]
         for b in batches:
-            rows = []
-            for key, data in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                if data is not None:
-                    info, _ = stream_info(bytes(data))
-                    for i, (first, at, x) in enumerate(frames(bytes(data))):
-                        rows.append((key, i, first, at, x.shape[1], x.shape[0], info["bps"], info["rate"], pcm_of(x, info["bps"])))
-                        if len(rows) >= 2000:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
+            rows, held = [], 0
+            for *key, data in b.itertuples(index=False):
+                if data is None:
+                    continue
+                data = bytes(data)
+                info, _ = stream_info(data)
+                found = frames(data)
+                now, i = next(found, None), 0
+                while now is not None:
+                    (first, at, x), now = now, next(found, None)
+                    rows.append((*key, i, now is None, first, at, x.shape[1], x.shape[0], info["bps"], info["rate"], pcm_of(x, info["bps"])))
+                    i, held = i + 1, held + len(rows[-1][-1])
+                    if held >= 4_000_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
             yield pd.DataFrame(rows, columns=names)
 
-    return df.select(id_col, media_col).mapInPandas(blocks, f"doc_id {id_type}, block long, sample_offset long, byte_offset long, n_samples long, channels int, bits int, rate int, pcm binary")
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, kept))
+    return df.select(id_col, *beside, media_col).mapInPandas(blocks, schema + ", block long, last boolean, sample_offset long, byte_offset long, n_samples long, channels int, bits int, rate int, pcm binary")
 
 
-def feature_of(samples: np.ndarray, n_frames: int) -> str:
-    """Frames, sum, sum of squares and sign changes of 8-bit samples."""
-    x = samples.astype(np.int64)
-    return f"frames={n_frames};sum={int(x.sum())};squares={int((x * x).sum())};crossings={int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())}"
+class Feature:
+    """Frames, sum, sum of squares and sign changes of 8-bit samples that come block by block."""
 
+    def __init__(self):
+        self.frames = self.sum = self.squares = self.crossings = 0
+        self.before: int | None = None
 
-def media_digests(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: its payload stored as FLAC, read back from the stored bytes, and digests of both."""
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    def add(self, samples: np.ndarray) -> None:
+        x, low = samples.astype(np.int64), samples < 0
+        self.frames += 1
+        self.sum += int(x.sum())
+        self.squares += int((x * x).sum())
+        self.crossings += int((low[1:] != low[:-1]).sum()) + int(self.before is not None and bool(low[0]) != self.before)
+        self.before = bool(low[-1])
 
-    @F.pandas_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    def __str__(self) -> str:
+        return f"frames={self.frames};sum={self.sum};squares={self.squares};crossings={self.crossings}"
+
+
+def block_digests(blocks: DataFrame, *, id_type: str) -> DataFrame:
+    """One row for each run of blocks from the first to the last: doc_id, n_bytes, media_bytes, media_sha256, and digests of the bytes that their 8-bit samples stand for."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, tail, size, feature = hashlib.sha256(), b"", 0, Feature()
+        for b in batches:
             rows = []
-            for t in texts:
-                stored = encode(payload_of(t))
-                back, n = decode_payload(stored)
-                x = (np.frombuffer(back, np.uint8) ^ 0x80).view(np.int8)
-                rows.append((len(t.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(x, n)))
+            for key, n_bytes, media_bytes, media_sha256, block, last, pcm in b.itertuples(index=False):
+                if block == 0:
+                    whole, tail, size, feature = hashlib.sha256(), b"", 0, Feature()
+                raw = (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
+                whole.update(raw)
+                tail, size = (tail + raw)[-64:], size + len(raw)
+                feature.add(np.frombuffer(pcm, np.int8))
+                if last:
+                    rows.append((key, n_bytes, size, whole.hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, str(feature)))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(docs[id_col].alias("doc_id"), digest(text_of(docs, text_col)).alias("_d")).select("doc_id", "_d.*")
+    asked = blocks.select("doc_id", "_n_bytes", "_media_bytes", "_media_sha256", "block", "last", "pcm")
+    return asked.mapInPandas(digest, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def media_digests(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: its payload stored as FLAC, read back from the stored bytes block by block, and digests of both.
+
+    The stored column, its PCM blocks and their digests are steps of one task each, without a shuffle: a task holds a batch.
+    """
+
+    @F.pandas_udf("binary")
+    def stored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([encode(payload_of(t)) for t in texts], dtype=object)
+
+    text = text_of(docs, text_col)
+    kept = docs.select(docs[id_col].alias("doc_id"), F.octet_length(text).cast("long").alias("_n_bytes"), stored(text).alias("media"))
+    kept = kept.select("doc_id", "_n_bytes", F.octet_length("media").cast("long").alias("_media_bytes"), F.sha2("media", 256).alias("_media_sha256"), "media")
+    return block_digests(pcm_blocks(kept, beside=("_n_bytes", "_media_bytes", "_media_sha256")), id_type=docs.schema[id_col].dataType.simpleString())
