@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -65,6 +66,26 @@ def test_vantage_cuts_lose_no_link():
         assert held[i] & held[j]
 
 
+def test_shards_are_split_again(spark):
+    """A tree of few leaves over clustered points: shards are dealt again until they are small, and no link is lost."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    points = np.unique(np.array([c ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for c in centres for a, b in rng.integers(0, 63, (75, 2))], np.uint64))
+    df = spark.createDataFrame(pd.DataFrame({"fp": points.view(np.int64)}))
+    few = simhash_dedup.links(df, shard=100, sample=8)
+    roots = {r.node: r.root for r in simhash_dedup.components(few).collect()}
+    forest = simhash_dedup.Forest(len(points))
+    for i, j in zip(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)):
+        forest.join(int(i), int(j))
+    groups = {}
+    for i, p in enumerate(points.view(np.int64).tolist()):
+        groups.setdefault(forest.root(i), set()).add(roots.get(p, p))
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+    first = df.select(F.lit(0).cast("long").alias("shard"), "fp")
+    again = simhash_dedup.split_again(first, 2, 7, 100)
+    assert again.groupBy("shard").count().agg(F.max("count")).first()[0] <= 200
+
+
 def test_deduplicated(awkward, none):
     out = simhash_dedup.deduplicated(awkward)
     assert out.columns == awkward.columns
@@ -175,9 +196,28 @@ def test_source_mix(request, table):
     assert sorted(map(repr, got)) == sorted(map(repr, source_mix.mixed(df.repartition(5)).collect()))
 
 
-def test_mix_selected(awkward):
-    out = source_mix.selected(awkward)
-    assert set(awkward.columns) <= set(out.columns) and out.where("taken <= 0").count() == 0
+def test_mix_selected(spark, awkward):
+    """Every column keeps the caller's values; rows that are alike keep shares of their own."""
+    own = awkward.withColumn("size", F.lit(77)).withColumn("taken", F.col("doc_id"))
+    out = source_mix.selected(own)
+    assert out.columns == [*own.columns, "mix_size", "source_size", "mix_target", "mix_taken"]
+    got = out.collect()
+    assert got and all(r["size"] == 77 and r.taken == r.doc_id and r.target == 1 and 0 < r.mix_taken <= 2 * r.mix_size for r in got)
+    share = Counter((r.doc_id, r.taken) for r in source_mix.mixed(own).collect() if r.taken)
+    assert Counter((r.doc_id, r.mix_taken) for r in got) == share
+    alike = spark.createDataFrame([(1, "one two three " * 40, "s")] * 50, "doc_id long, text string, source string")
+    assert sorted(r.taken for r in source_mix.selected(alike).collect()) == sorted(r.taken for r in source_mix.mixed(alike).collect() if r.taken)
+
+
+def test_shared_passages_whatever_the_partitions(docs):
+    """The same rows after any repartition, and with the texts of a seed linked in several shares the same documents."""
+    some = docs.where("doc_id % 3 = 0")
+    rows = lambda df, **o: sorted(map(tuple, substring_dedup.shared_passages(df, **o).collect()))
+    got = rows(some)
+    assert got and got == rows(some.repartition(7))
+    covered = lambda found: {d for r in found for d in (r[0], r[3])}
+    many = covered(rows(some, share_rows=40))
+    assert len(covered(got) ^ many) <= 0.02 * len(many)
 
 
 def test_shared_passages(spark):
