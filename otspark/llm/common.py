@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that ends a word: the six ASCII characters 0x20 and 0x09-0x0D.
@@ -60,3 +62,27 @@ def words_of(text: Column, lower: bool = True) -> Column:
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of a value's text, modulo a number; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("null")).cast("binary")) % F.lit(modulus)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds each row's number, from 0, in the given order: sorted range partitions, written, and the counts of those before.
+
+    No task sees more than a range of rows. What is read again has the same numbers after a lost task, as they are written.
+    """
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    parts = parts.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_at", "_before")
+
+
+def join_weighed(rows: DataFrame, keys: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
+    """Inner join of rows with keys (one row a key, `weight`: its number of rows), without a task that meets a hot key's rows.
+
+    Keys with at least 1/most of all rows are no more than `most`, so these are broadcast; each other key has less than that
+    share. Both frames are read twice: give written ones.
+    """
+    least = max(1.0, (keys.agg(F.sum(weight)).first()[0] or 0) / most)
+    hot, cold = keys.where(F.col(weight) >= least), keys.where(F.col(weight) < least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
