@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from otspark.functions.dims import BASELINE_ICS, BASELINE_IT
+from otspark.operators import flows
 from otspark.operators.assets import literal_map
 from otspark.sources.packets import FLOW, ORDER
 
@@ -91,15 +92,32 @@ def steady(seconds: DataFrame) -> DataFrame:
     return seconds.where("pps > 0").agg(F.count("*").alias("active_seconds"), cv.alias("cv")).withColumn("steady", (F.col("active_seconds") > 5) & (F.col("cv") < 0.35))
 
 
-def intervals(packets: DataFrame, warm_up: int = 12, most: int = 400, least: int = 8) -> DataFrame:
-    """Median and variation of the times between packets of each flow, from the warm_up-th packet on, over the first `most` times above 0."""
-    order = Window.partitionBy(*FLOW).orderBy(*ORDER)
-    told = packets.select(*FLOW, *ORDER, (F.col("ts_us") - F.lag("ts_us").over(order)).alias("_d"), F.row_number().over(order).alias("_n")).where((F.col("_n") >= warm_up) & (F.col("_d") > 0))
-    taken = told.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+def intervals(packets: DataFrame, warm_up: int = 12, most: int = 400, least: int = 8, tracked: int = 8_000) -> DataFrame:
+    """Median and variation of the times between packets of each flow, from the warm_up-th packet on, over the first `most` times above 0.
+
+    Only the first `tracked` flows are sampled, in the order in which they come to their first such time (0: all). A flow's packets
+    are numbered, and its times counted, piece by piece (flows.PIECE) with what the pieces before it have, so no task holds a
+    whole flow; what is left of a flow at last is `most` rows.
+    """
+    none = {"src_port": -1, "dst_port": -1, "src_ip": "", "dst_ip": "", "transport": ""}  # flows without ports are flows too
+    rows = flows.in_pieces(packets.select(*[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()], *ORDER, "ts_us"))
+    place, before = F.row_number().over(flows.within()), flows.among().rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_in", place).withColumn("_prev", F.lag("ts_us").over(flows.within()))
+    pieces = rows.groupBy(*flows.PIECES).agg(F.count("*").alias("_n"), F.max_by("ts_us", "packet_number").alias("_last"))
+    pieces = pieces.select(*flows.PIECES, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_done"), F.lag("_last").over(flows.among()).alias("_last"))
+    timed = numbered.join(pieces, flows.PIECES).withColumn("_d", F.col("ts_us") - F.coalesce("_prev", "_last")).where((F.col("_in") + F.col("_done") >= warm_up) & (F.col("_d") > 0))
+    timed = timed.withColumn("_k", place).where(F.col("_k") <= most)
+    if tracked:
+        admitted = timed.groupBy(*FLOW).agg(F.min(F.struct(*ORDER)).alias("_at")).orderBy("_at").limit(tracked).select(*FLOW)
+        timed = timed.join(F.broadcast(admitted), FLOW, "left_semi")
+    counted = timed.groupBy(*flows.PIECES).agg(F.count("*").alias("_n"))
+    counted = counted.select(*flows.PIECES, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_had")).where(F.col("_had") < most)
+    taken = timed.join(counted, flows.PIECES).where(F.col("_k") + F.col("_had") <= most)
     by = taken.groupBy(*FLOW).agg(F.count("*").alias("samples"), (F.median("_d") / 1e6).alias("median_s"), F.sum("_d").alias("_s"), F.sum(F.col("_d").cast("decimal(38,0)") * F.col("_d")).alias("_s2"))
     n = F.col("samples").cast("decimal(38,0)")
     deviation = F.sqrt(F.greatest((n * F.col("_s2") - F.col("_s").cast("decimal(38,0)") * F.col("_s")).cast("double"), F.lit(0.0))) / F.col("samples") / 1e6
     out = by.where(F.col("samples") >= least).withColumn("cv", deviation / (F.col("median_s") + 1e-9)).drop("_s", "_s2")
+    out = out.withColumns({c: F.nullif(c, F.lit(v)) for c, v in none.items()})
     return out.withColumn("likely_periodic", (F.col("cv") < 0.25) & (F.col("median_s") >= 0.05))
 
 

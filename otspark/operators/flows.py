@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from otspark.functions.dims import ENGINEERING_ROLES, ICS_APP_PORTS, IT_EDGE
 from otspark.functions.net import flow_id, is_private, is_public
@@ -18,11 +19,65 @@ LONGEST_GAP_US = 3_600_000_000
 BLOCK = 100_000
 
 
+#: Packet numbers of one piece of a flow: a flow of any length is worked out in pieces, and its pieces are put together in order.
+PIECE = 16_384
+PIECES = [*FLOW, "file_idx", "_piece"]
+
+
+def within() -> WindowSpec:
+    """The packets of a piece in processing order."""
+    return Window.partitionBy(*PIECES).orderBy("packet_number")
+
+
+def among() -> WindowSpec:
+    """The pieces of a flow in processing order."""
+    return Window.partitionBy(*FLOW).orderBy("file_idx", "_piece")
+
+
+def in_pieces(packets: DataFrame) -> DataFrame:
+    """Packets with a whole 5-tuple, and their _piece: flow, file and piece together have PIECE packets at most."""
+    return packets.where(" AND ".join(f"{c} IS NOT NULL" for c in FLOW)).withColumn("_piece", F.floor(F.col("packet_number") / PIECE))
+
+
+def proper(gap: Column) -> Column:
+    """A gap that is an inter-packet time: over 0 and under an hour, else null."""
+    return F.when((gap > 0) & (gap < LONGEST_GAP_US), gap)
+
+
 def with_gaps(packets: DataFrame) -> DataFrame:
-    """Adds ipt_us: time since the packet before in the flow, in processing order, where it is over 0 and under an hour."""
-    keyed = packets.where(" AND ".join(f"{c} IS NOT NULL" for c in FLOW))
-    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*FLOW).orderBy(*ORDER))
-    return keyed.withColumn("ipt_us", F.when((gap > 0) & (gap < LONGEST_GAP_US), gap))
+    """Adds ipt_us: time since the packet before in the flow, in processing order, where it is over 0 and under an hour.
+
+    The first packet of a piece takes the last time of the piece before from the table of pieces.
+    """
+    rows = in_pieces(packets)
+    last = rows.groupBy(*PIECES).agg(F.max_by("ts_us", "packet_number").alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(among())).where("_last is not null")
+    told = rows.withColumn("_before", F.lag("ts_us").over(within())).join(last, PIECES, "left")
+    gap = F.col("ts_us") - F.coalesce("_before", "_last")
+    return told.withColumn("ipt_us", proper(gap)).select(*packets.columns, "ipt_us")
+
+
+def moments(packets: DataFrame) -> DataFrame:
+    """One row per flow: counts and integer sums of lengths and inter-packet times, first and last times, first packet.
+
+    A piece gives the sums of its own gaps, its first and last time; what lies between two pieces is added when a flow's
+    pieces are folded in order. So a flow with all packets of a capture is the work of many tasks.
+    """
+    dec = lambda c: c.cast("decimal(38,0)")
+    rows = in_pieces(packets).withColumn("_gap", proper(F.col("ts_us") - F.lag("ts_us").over(within())))
+    pieces = rows.groupBy(*PIECES).agg(
+        F.count("*").alias("_n"), F.sum("length").alias("_l"), F.sum(dec(F.col("length")) * dec(F.col("length"))).alias("_l2"), F.min("ts_us").alias("_start"), F.max("ts_us").alias("_end"),
+        F.count("_gap").alias("_k"), F.sum("_gap").alias("_i"), F.sum(dec(F.col("_gap")) * dec(F.col("_gap"))).alias("_i2"),
+        F.min_by("ts_us", "packet_number").alias("_first"), F.max_by("ts_us", "packet_number").alias("_last"), F.min("packet_number").alias("_from"),
+    )
+    joined = pieces.withColumn("_gap", proper(F.col("_first") - F.lag("_last").over(among())))
+    gap = F.coalesce("_gap", F.lit(0))
+    both = lambda own, between: F.sum(F.coalesce(F.col(own), F.lit(0)) + between)
+    return joined.groupBy(*FLOW).agg(
+        F.sum("_n").alias("packet_count"), F.sum("_l").alias("byte_count"), F.sum("_l2").alias("_l2"), F.min("_start").alias("start_us"), F.max("_end").alias("end_us"),
+        both("_k", F.col("_gap").isNotNull().cast("long")).alias("ipt_count"), both("_i", gap).alias("_i"), both("_i2", dec(gap) * dec(gap)).alias("_i2"),
+        F.min(F.struct("file_idx", F.col("_from").alias("packet_number"))).alias("_first"),
+    )
 
 
 def deviation(n: Column, s: Column, s2: Column) -> Column:
@@ -35,18 +90,7 @@ def deviation(n: Column, s: Column, s2: Column) -> Column:
 
 def flow_build(packets: DataFrame) -> DataFrame:
     """One row per flow; first_seq is its first packet in processing order."""
-    dec = lambda c: c.cast("decimal(38,0)")
-    agg = with_gaps(packets).groupBy(*FLOW).agg(
-        F.count("*").alias("packet_count"),
-        F.sum("length").alias("byte_count"),
-        F.min("ts_us").alias("start_us"),
-        F.max("ts_us").alias("end_us"),
-        F.sum(dec(F.col("length") * F.col("length"))).alias("_l2"),
-        F.count("ipt_us").alias("ipt_count"),
-        F.sum("ipt_us").alias("_i"),
-        F.sum(dec(F.col("ipt_us")) * dec(F.col("ipt_us"))).alias("_i2"),
-        F.min(F.struct(*ORDER)).alias("_first"),
-    )
+    agg = moments(packets)
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
     per = lambda c: F.when(seconds > 0, F.col(c) / seconds).otherwise(0.0)
     return agg.select(
@@ -54,7 +98,7 @@ def flow_build(packets: DataFrame) -> DataFrame:
         seconds.alias("duration_seconds"), per("packet_count").alias("packets_per_second"), per("byte_count").alias("bytes_per_second"),
         (F.col("byte_count") / F.col("packet_count")).alias("avg_packet_size"),
         deviation(F.col("packet_count"), F.col("byte_count"), F.col("_l2")).alias("packet_length_std"),
-        "ipt_count", F.coalesce(F.col("_i") / F.col("ipt_count") / 1e6, F.lit(0.0)).alias("avg_inter_packet_time"),
+        "ipt_count", F.coalesce(F.try_divide("_i", "ipt_count") / 1e6, F.lit(0.0)).alias("avg_inter_packet_time"),
         F.coalesce(deviation(F.col("ipt_count"), F.col("_i"), F.col("_i2")) / 1e6, F.lit(0.0)).alias("jitter"),
         F.col("_first.file_idx").alias("first_file"), F.col("_first.packet_number").alias("first_packet"),
     )

@@ -100,6 +100,22 @@ def interval_sampler(spark, sf_dir):
     return baseline.intervals(polling(spark, sf_dir)).select("src_ip", "samples", "median_s", F.round("cv", 9).alias("cv"), "likely_periodic")
 
 
+#: Flows of the packet view by source and destination, of which twenty are sampled: more than that come to an interval.
+_BY_PAIR = f"WITH packets AS (WITH {PACKETS} SELECT * REPLACE (0 AS src_port, 0 AS dst_port) FROM packets), d AS (SELECT *, ts_us - lag(ts_us) OVER w AS d, row_number() OVER w AS n FROM packets WINDOW w AS (PARTITION BY src_ip, dst_ip, transport ORDER BY packet_number)), "
+
+
+@register(
+    "admitted_intervals",
+    _BY_PAIR + "q AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, transport ORDER BY packet_number) AS k FROM d WHERE n >= 12 AND d > 0), f AS (SELECT src_ip, dst_ip, transport FROM q GROUP BY ALL ORDER BY min(packet_number) LIMIT 20), "
+    "a AS (SELECT src_ip, dst_ip, transport, count(*) AS samples, median(d) / 1e6 AS median_s, CAST(sum(d) AS HUGEINT) AS s, sum(CAST(d AS HUGEINT) * d) AS s2 FROM q JOIN f USING (src_ip, dst_ip, transport) WHERE k <= 5 GROUP BY ALL) "
+    "SELECT src_ip, dst_ip, transport, samples, median_s, round(sqrt(greatest(CAST(samples * s2 - s * s AS DOUBLE), 0)) / samples / 1e6 / (median_s + 1e-9), 9) AS cv FROM a WHERE samples >= 2",
+)
+def admitted_intervals(spark, sf_dir):
+    """Intervals of the first twenty of more flows, five for each."""
+    rows = packets(spark, sf_dir).withColumns({"src_port": F.lit(0), "dst_port": F.lit(0)})
+    return baseline.intervals(rows, most=5, least=2, tracked=20).select("src_ip", "dst_ip", "transport", "samples", "median_s", F.round("cv", 9).alias("cv"))
+
+
 @register("command_sources", f"WITH {PACKETS}, b AS (SELECT fc AS function_code, src_ip, count(*) AS requests FROM packets WHERE dst_port = 502 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY function_code ORDER BY requests DESC, src_ip) AS place FROM b) SELECT function_code, src_ip, requests, CAST(place AS INTEGER) AS place FROM p WHERE place <= 8")
 def command_sources(spark, sf_dir):
     return baseline.command_sources(decode.modbus_requests(packets(spark, sf_dir)))

@@ -57,6 +57,26 @@ def inter_packet_time(spark, sf_dir):
     return flows.with_gaps(packets(spark, sf_dir)).select("packet_number", "ipt_us")
 
 
+#: Every second packet belongs to one flow.
+HOT = f"WITH packets AS (WITH {PACKETS} SELECT * REPLACE (" + ", ".join(f"CASE WHEN packet_number % 2 = 0 THEN {v} ELSE {c} END AS {c}" for c, v in {"src_ip": "'10.99.0.1'", "dst_ip": "'10.99.0.2'", "src_port": "1", "dst_port": "502", "transport": "'TCP'"}.items()) + f") FROM packets), {FLOWS} "
+
+
+def hot(spark, sf_dir):
+    one = {"src_ip": "10.99.0.1", "dst_ip": "10.99.0.2", "src_port": 1, "dst_port": 502, "transport": "TCP"}
+    return packets(spark, sf_dir).withColumns({c: F.when(F.col("packet_number") % 2 == 0, v).otherwise(F.col(c)) for c, v in one.items()})
+
+
+@register("hot_flow_rates", HOT + "SELECT flow_id, packet_count, start_us, end_us, packet_length_std, ipt_count, avg_inter_packet_time, jitter, first_packet FROM flows")
+def hot_flow_rates(spark, sf_dir):
+    """Flows of which one has half of all packets."""
+    return flows.flow_build(hot(spark, sf_dir)).select("flow_id", "packet_count", "start_us", "end_us", "packet_length_std", "ipt_count", "avg_inter_packet_time", "jitter", "first_packet")
+
+
+@register("hot_inter_packet_time", HOT + "SELECT packet_number, src_port, CASE WHEN gap > 0 AND gap < 3600000000 THEN gap END AS ipt_us FROM gaps")
+def hot_inter_packet_time(spark, sf_dir):
+    return flows.with_gaps(hot(spark, sf_dir)).select("packet_number", "src_port", "ipt_us")
+
+
 @register("top_talkers", WITH + "SELECT src_ip, CAST(sum(packet_count) AS BIGINT) AS packets FROM flows GROUP BY src_ip ORDER BY packets DESC, min(first_packet) LIMIT 25")
 def top_talkers(spark, sf_dir):
     return flows.top_talkers(built(spark, sf_dir))
