@@ -1,127 +1,57 @@
 """Capture files: pcap and pcapng, plain or gzip, from any store that Spark reads.
 
 records() cuts files into their packets (one row each, in Python: the format is a chain of lengths); packets() decodes
-Ethernet, 802.1Q, Linux cooked and raw IP frames with IPv4 or IPv6, TCP and UDP as columns. A file is one row of Spark's
-binaryFile source, so one file is at most 2 GB: longer captures are to be written in parts, as capture tools do.
+Ethernet, 802.1Q, Linux cooked and raw IP frames with IPv4 or IPv6, TCP and UDP as columns. Files of stores that workers can
+open are read as streams and by byte ranges (sources.ranged). Those of other stores come as rows of Spark's binaryFile
+source: one file in one task, and at most 2 GB.
 
-Packet numbers count from 1 in each file, and number what cannot be decoded too. A file that is no capture gives one row
-with `error` and no packet; a cut-off last packet ends its file. Files of no bytes give no row: Spark's file sources leave them out.
+Packet numbers count from 1 in each file, and number what cannot be decoded too. Files are numbered in the order of the paths
+given. A file that is no capture, or has no bytes, gives one row with `error` and no packet; a cut-off last packet ends its file.
 """
 
 from __future__ import annotations
 
-import gzip
-import struct
 from collections.abc import Iterator
 from functools import partial
-from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from otspark.functions.net import byte_array, u8, u16
+from otspark.sources import ranged
 
-SCHEMA = "pcap_file string, path string, packet_number bigint, ts_us bigint, linktype int, length bigint, raw binary, error string"
-# fixed values: first four bytes of a file, byte order and units of a second of its times
-MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
-PCAPNG = b"\x0a\x0d\x0d\x0a"
 #: Bytes of a packet that hold all headers: link, tags, IPv4 with options or IPv6, TCP with options.
 HEADERS = 192
-#: Rows of an Arrow batch, at most.
-BATCH = 4096
 
 # fixed values: link types
 ETHERNET, RAW, COOKED = 1, (12, 14, 101), 113
 
 
-def classic(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(ts_us, linktype, length on the wire, bytes) of each packet of a pcap file."""
-    order, unit = MAGIC[data[:4]]
-    linktype, at = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF, 24
-    while at + 16 <= len(data):
-        seconds, part, held, length = struct.unpack_from(order + "IIII", data, at)
-        if at + 16 + held > len(data):
-            return
-        yield seconds * 10**6 + part * 10**6 // unit, linktype, length, data[at + 16 : at + 16 + held]
-        at += 16 + held
-
-
-def blocks(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """The same of a pcapng file: enhanced and simple packet blocks; each section has its own byte order and interfaces."""
-    at, order, faces = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == PCAPNG:
-            order, faces = ("<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
-            return
-        body = data[at + 8 : at + size - 4]
-        if kind == 1 and len(body) >= 8:
-            faces.append((struct.unpack_from(order + "H", body)[0], resolution(body[8:], order)))
-        elif kind == 6 and len(body) >= 20:
-            face, high, low, held, length = struct.unpack_from(order + "IIIII", body)
-            if face < len(faces):
-                yield ((high << 32) | low) * 10**6 // faces[face][1], faces[face][0], length, body[20 : 20 + held]
-        elif kind == 3 and len(body) >= 4 and faces:
-            length = struct.unpack_from(order + "I", body)[0]
-            yield 0, faces[0][0], length, body[4 : 4 + length]
-        at += size
-
-
-def resolution(options: bytes, order: str) -> int:
-    """Units of a second of an interface: option 9, a million without it."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack_from(order + "HH", options, at)
-        if code == 9 and size == 1:
-            v = options[at + 4]
-            return 2 ** (v & 0x7F) if v & 0x80 else 10**v
-        if code == 0:
-            break
-        at += 4 + size + -size % 4
-    return 10**6
-
-
-def rows_of(path: str, content: bytes | None) -> Iterator[tuple]:
-    name = path.rsplit("/", 1)[-1]
-    try:
-        data = gzip.decompress(content) if content and content[:2] == b"\x1f\x8b" else content or b""
-    except (OSError, EOFError) as e:
-        yield name, path, None, None, None, None, None, f"gzip: {e}"
-        return
-    if data[:4] in MAGIC and len(data) >= 24:
-        found = classic(data)
-    elif data[:4] == PCAPNG:
-        found = blocks(data)
-    else:
-        pointer = data.startswith(b"version https://git-lfs")
-        yield name, path, None, None, None, None, None, "a pointer to a large file, not the file" if pointer else "no capture file"
-        return
-    for n, (ts, linktype, length, raw) in enumerate(found, 1):
-        yield name, path, n, ts, linktype, length, raw, None
-
-
-def cut_records(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    types = [("pcap_file", pa.string()), ("path", pa.string()), ("packet_number", pa.int64()), ("ts_us", pa.int64()), ("linktype", pa.int32()), ("length", pa.int64()), ("raw", pa.binary()), ("error", pa.string())]
-    schema, held = pa.schema(types), []
+def cut_records(batches: Iterator[pa.RecordBatch], most: int, files: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of whole files (path, content), numbered by their place in `files`."""
+    at = {p: i for i, p in enumerate(files or [])}
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1)):
-            for row in islice(rows_of(path.as_py(), content.as_py()), most or None):
+            held = []
+            for row in ranged.rows_of(ranged.Range(at.get(path.as_py(), 0), path.as_py(), most=most), content.as_py() or b""):
                 held.append(row)
-                if len(held) == BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), types)], schema=schema)
+                if len(held) == ranged.BATCH:
+                    yield ranged.batch_of(held)
                     held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), types)], schema=schema)
+            if held:
+                yield ranged.batch_of(held)
 
 
-def records(spark: SparkSession, path: str | list[str], most: int = 0) -> DataFrame:
+def records(spark: SparkSession, path: str | list[str], most: int = 0, range_bytes: int = ranged.RANGE) -> DataFrame:
     """The packets of capture files; `most` keeps the first so many of each file (0: all), and cuts no more of it."""
-    files = spark.read.format("binaryFile").load(path)
-    place = Window.orderBy("path")  # one row a file, of which only the path is read
-    index = files.select("path").withColumn("file_idx", F.row_number().over(place) - 1)
-    return files.select("path", "content").mapInArrow(partial(cut_records, most=most), SCHEMA).join(F.broadcast(index), "path")
+    files = ranged.listed(spark, path)
+    if all(ranged.reachable(p) for p, _ in files):
+        return ranged.records(spark, files, most, range_bytes)
+    whole = spark.read.format("binaryFile").load([p for p, n in files if n])
+    found = whole.select("path", "content").mapInArrow(partial(cut_records, most=most, files=[p for p, _ in files]), ranged.SCHEMA)
+    empty = [(i, p.rsplit("/", 1)[-1], p, None, None, None, None, None, "no bytes") for i, (p, n) in enumerate(files) if not n]
+    return found.unionByName(spark.createDataFrame(empty, ranged.SCHEMA)) if empty else found
 
 
 def errors(found: DataFrame) -> DataFrame:
@@ -130,6 +60,9 @@ def errors(found: DataFrame) -> DataFrame:
 
 def evidence(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Name, size and SHA-256 of the files."""
+    listed = ranged.listed(spark, path)
+    if all(ranged.reachable(p) for p, _ in listed):
+        return ranged.evidence(spark, listed)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from otspark.operators import decode, rules
-from otspark.sources import capture
+from otspark.sources import capture, ranged
 from otspark.sources.packets import FLOW
 
 LATE, WINDOW, QUIET = "10 minutes", "1 minute", "5 minutes"
@@ -21,7 +21,7 @@ LATE, WINDOW, QUIET = "10 minutes", "1 minute", "5 minutes"
 def captures(spark: SparkSession, folder: str, most: int = 0) -> DataFrame:
     """Packets of capture files as they arrive in a folder; file_idx is 0, as there is no last file to count up to."""
     arrived = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder).select("path", "content")
-    records = arrived.mapInArrow(partial(capture.cut_records, most=most), capture.SCHEMA).withColumn("file_idx", F.lit(0))
+    records = arrived.mapInArrow(partial(capture.cut_records, most=most), ranged.SCHEMA)
     return capture.packets(records)
 
 

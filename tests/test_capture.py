@@ -48,7 +48,7 @@ def test_formats(spark, tmp_path):
     for name in ("a.pcap", "b.pcap", "c.pcap", "d.pcapng", "e.pcap.gz"):
         assert got[name][:3] == whole and len(got[name]) == 4 and got[name][3][2] is None
     assert got["f.pcap"] == whole
-    assert {r.pcap_file for r in capture.errors(found).collect()} == {"g.pcap"}  # the source leaves out h.pcap, which has no bytes
+    assert {r.pcap_file: r.error for r in capture.errors(found).collect()} == {"g.pcap": "no capture file", "h.pcap": "no bytes"}
     assert capture.records(spark, f"file://{tmp_path}/a.pcap", most=2).count() == 2
     kept = graph.cut(capture.packets(capture.records(spark, f"file://{tmp_path}/a.pcap")))
     framed = decode.decode(kept, ["modbus"])
