@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import html
 import json
-import struct
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from otspark.sources import pcap, ranged
+
 #: Flows that an export holds, at most, unless asked otherwise; 0: all.
 MOST_FLOWS = 1_000_000
 #: Packets that a capture file is written of at a time.
@@ -94,11 +95,14 @@ def write_json(spark: SparkSession, document: dict, path: str) -> int:
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
-    """A document written before; None where it is missing or no JSON."""
+    """A document written before; None where it is missing or no JSON. A store that fails is an error."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     try:
-        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
         return json.loads(text)
-    except Exception:  # noqa: BLE001 Spark's errors for missing paths have many kinds
+    except ValueError:
         return None
 
 
@@ -163,26 +167,34 @@ def subset(records: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def capture_bytes(rows: Iterable, linktype: int) -> Iterator[bytes]:
-    """A pcap file (microseconds, little end first) of rows with ts_us, length and raw."""
-    yield struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, linktype)
+    """A pcap file of rows with ts_us, length and raw."""
+    yield pcap.file_head(linktype)
     held = []
     for r in rows:
-        held.append(struct.pack("<IIII", r.ts_us // 10**6, r.ts_us % 10**6, len(r.raw), r.length) + bytes(r.raw))
+        held.append(pcap.record(r.ts_us, r.length, bytes(r.raw)))
         if len(held) == CHUNK:
             yield b"".join(held)
             held = []
     yield b"".join(held)
 
 
-def write_capture(records: DataFrame, path: str) -> int:
-    """The records as one pcap file in their order, streamed partition by partition; returns their number, and writes no file for none.
+def write_capture(records: DataFrame, path: str, parts: int | None = None) -> int:
+    """The records as a folder of pcap files in their order, each written by its task; returns their number, and writes nothing for none.
 
-    A pcap file has one link type: records of another than the first one's are left out.
+    A file has one link type: a part has a file for each that its records have. `parts=1` gives one file for each link type.
     """
-    first = records.orderBy("file_idx", "packet_number").select("linktype").first()
-    if first is None:
-        return 0
-    rows = records.where(F.col("linktype") == first.linktype)
-    n = rows.count()
-    write_bytes(records.sparkSession, path, capture_bytes(rows.orderBy("file_idx", "packet_number").select("ts_us", "length", "raw").toLocalIterator(), first.linktype))
+    spark = records.sparkSession
+    place = ["file_idx", "packet_number"]
+    rows = records.select(*place, "ts_us", "linktype", "length", "raw")
+    rows = (rows.repartitionByRange(parts, *place) if parts else rows.repartitionByRange(*place)).sortWithinPartitions(*place)
+    if ranged.reachable(path):
+        written = Observation()
+        spark.dataSource.register(ranged.CaptureSource)
+        rows.observe(written, F.count("*").alias("n")).write.format("capture").mode("overwrite").save(path)
+        return written.get["n"]
+    n = 0  # a store that only Spark reaches: streamed, a file for each link type
+    for r in rows.groupBy("linktype").count().orderBy("linktype").collect():
+        mine = rows.where(F.col("linktype") == r.linktype).orderBy(*place).select("ts_us", "length", "raw")
+        write_bytes(spark, f"{path}/part-00000-link{r.linktype}.pcap", capture_bytes(mine.toLocalIterator(), r.linktype))
+        n += r["count"]
     return n

@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -27,8 +28,9 @@ from functools import partial
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from otspark.sources import pcap
 
@@ -60,11 +62,16 @@ def reachable(path: str) -> bool:
     return path.split(":", 1)[0] in STORES
 
 
-def opened(path: str) -> pa.NativeFile:
+def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Arrow's file system and its name of a reachable path."""
     scheme, _, rest = path.partition(":")
     if scheme == "file":
-        return pyarrow.fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
-    store, name = pyarrow.fs.FileSystem.from_uri(f"{STORES[scheme]}:{rest}")
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(f"{STORES[scheme]}:{rest}")
+
+
+def opened(path: str) -> pa.NativeFile:
+    store, name = store_of(path)
     return store.open_input_file(name)
 
 
@@ -180,6 +187,9 @@ class CaptureSource(DataSource):
     def reader(self, schema) -> CaptureReader:
         return CaptureReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> CaptureWriter:
+        return CaptureWriter(self.options["path"], overwrite)
+
 
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
@@ -246,6 +256,65 @@ def rows_of(r: Range, content: bytes | None = None) -> Iterator[tuple]:
             yield wrong(f"gzip: {e}")
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files that a task has written: (name in the temporary folder, name in the end)."""
+
+    files: list[tuple[str, str]]
+
+
+class CaptureWriter(DataSourceArrowWriter):
+    """Rows with ts_us, linktype, length and raw as pcap files of a folder: in each partition one for each link type, with its own head.
+
+    Tasks write into a folder of this job's own, so what a lost or repeated attempt has left is never seen; commit moves the files
+    of the attempts that count, and removes that folder, as abort does.
+    """
+
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite, self.job = path if ":" in path else f"file:{path}", overwrite, uuid.uuid4().hex
+
+    @property
+    def _own(self) -> str:
+        return f"{store_of(self.path)[1]}/_temporary-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, part, files = store_of(self.path)[0], TaskContext.get().partitionId(), {}
+        attempt = uuid.uuid4().hex[:8]
+        try:
+            for batch in iterator:
+                columns = [batch.column(c).to_pylist() for c in ("linktype", "ts_us", "length", "raw")]
+                for link, ts_us, length, raw in zip(*columns):
+                    if link not in files:
+                        store.create_dir(self._own, recursive=True)
+                        files[link] = store.open_output_stream(f"{self._own}/{part}-{link}-{attempt}", buffer_size=pcap.PIECE)
+                        files[link].write(pcap.file_head(link))
+                    files[link].write(pcap.record(ts_us, length, raw))
+        finally:
+            for f in files.values():
+                f.close()
+        return Written([(f"{part}-{link}-{attempt}", f"part-{part:05d}-link{link}-{self.job[:8]}.pcap") for link in files])
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, folder = store_of(self.path)
+        mine = [f for m in messages if m for f in m.files]
+        old = []
+        if self.overwrite and store.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+            old = [f.path for f in store.get_file_info(pyarrow.fs.FileSelector(folder)) if f.is_file and f.base_name.startswith("part-")]
+        for name, end in mine:
+            store.move(f"{self._own}/{name}", f"{folder}/{end}")
+        for path in old:
+            store.delete_file(path)
+        self._clear()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store = store_of(self.path)[0]
+        if store.get_file_info(self._own).type == pyarrow.fs.FileType.Directory:
+            store.delete_dir(self._own)
+
+
 def records(spark: SparkSession, files: list[tuple[str, int]], most: int = 0, range_bytes: int = RANGE) -> DataFrame:
     """The packets of listed() files, all of them reachable."""
     ranges = planned(spark, files, most, range_bytes)

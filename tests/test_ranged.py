@@ -7,7 +7,9 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from otspark.sinks import files
 from otspark.sources import capture, pcap, ranged
 from tests.test_capture import frame, pcap as pcap_file, pcapng
 
@@ -142,3 +144,25 @@ def test_stream_keeps_little():
         assert got == data[place : place + 1000] and len(stream.held) < 2 * pcap.PIECE + 2000
         place += 1500
     assert stream.take(place, pcap.RECORD + 1) is None
+
+
+def test_written_by_its_tasks(spark, folder, tmp_path):
+    found = capture.records(spark, f"file://{folder}").where("raw is not null")
+    path = f"file://{tmp_path}/some/subset.pcap"
+    want = [(r.linktype, r.ts_us, r.length, bytes(r.raw)) for r in found.orderBy("file_idx", "packet_number").collect()]
+    for parts in (5, 1):
+        assert files.write_capture(found, path, parts=parts) == len(want)
+        names = sorted(p.name for p in (tmp_path / "some/subset.pcap").iterdir())
+        assert all(n.startswith("part-") for n in names) and len({n.split("-link")[1].split("-")[0] for n in names}) == 2
+        assert len(names) == 2 if parts == 1 else len(names) >= 5
+        got = [(r.linktype, r.ts_us, r.length, bytes(r.raw)) for r in capture.records(spark, path).orderBy("file_idx", "packet_number").collect()]
+        for link in (1, 101):
+            assert [g for g in got if g[0] == link] == [w for w in want if w[0] == link]
+    assert files.write_capture(found.limit(0), f"file://{tmp_path}/none") == 0 and not (tmp_path / "none").exists()
+
+
+def test_a_failed_write_leaves_nothing(spark, folder, tmp_path):
+    found = capture.records(spark, f"file://{folder}").where("raw is not null").withColumn("length", F.expr("if(packet_number = 100, raise_error('no'), length)"))
+    with pytest.raises(Exception, match="no"):
+        files.write_capture(found, f"file://{tmp_path}/failed", parts=4)
+    assert not list((tmp_path / "failed").glob("*")) if (tmp_path / "failed").exists() else True
