@@ -19,7 +19,7 @@ from otspark.operators import baseline, cleartext, compare, components, decode,
 from otspark.sinks import files
 from otspark.sources import capture
 
-#: Rows that a report shows of a table, at most; exports of tables have all.
+#: Rows that a report document shows of a table, at most; its tables and the exports have all.
 SHOWN = 1_000
 
 
@@ -113,11 +113,12 @@ def report(a: Analysis) -> dict:
     links = graph.links(a.flows, s.most_edges)
     matrix = flows.comm_matrix(a.flows)
     severity = {r["severity"]: r["count"] for r in rows(a.events.groupBy("severity").count())}
-    total, exported = a.flows.count(), min(a.flows.count(), s.most_flows or files.MOST_FLOWS)
+    total = a.flows.count()
+    exported = min(total, s.most_flows or total)
     out = {
         "metadata": {"inputs": list(s.inputs), "mode": s.mode, "protocols": list(s.protocols) or list(decode.DECODERS), "duration_seconds": round(time.time() - a.began, 3), "read_errors": rows(a.read_errors) if a.read_errors is not None else [], "evidence": rows(capture.evidence(a.spark, list(s.inputs))) if s.inputs else []},
         "summary": {"assets_discovered": a.assets.count(), "ot_assets_discovered": asset_ops.ot_assets(a.assets).count(), "flows_analyzed": total, "flows_exported": exported, "flows_omitted_from_export": total - exported, "anomalies_detected": sum(severity.values()), "critical_anomalies": severity.get("CRITICAL", 0), "protocols_seen": [r["protocol"] for r in rows(a.frames.select("protocol").distinct().orderBy("protocol"))]},
-        "assets": short(components.tagged(a.assets).orderBy("ip_address")), "ot_assets": short(asset_ops.ot_assets(a.assets)), "flows": short(files.exported_flows(a.flows, s.most_flows or files.MOST_FLOWS)), "anomalies": short(rules.ordered(a.events)),
+        "assets": short(components.tagged(a.assets).orderBy("ip_address")), "ot_assets": short(asset_ops.ot_assets(a.assets)), "flows": short(files.exported_flows(a.flows, s.most_flows)), "anomalies": short(rules.ordered(a.events)),
         "components": {"catalog": rows(components.catalog(a.spark)), "summary": rows(components.summary(a.assets))[0], "observed": rows(components.tag_counts(a.assets)), "not_observed": [r["component_id"] for r in rows(components.not_seen(a.assets))]},
         "statistics": {
             "asset_stats": rows(asset_ops.role_counts(a.assets)), "flow_stats": rows(flows.flow_stats(a.flows))[0], "protocol_distribution": rows(flows.protocol_distribution(a.flows)), "top_talkers": rows(flows.top_talkers(a.flows)), "temporal_heatmap": short(flows.temporal_heatmap(a.flows)),
@@ -139,14 +140,22 @@ def export(a: Analysis) -> dict[str, str]:
     place = lambda stem, tail: f"{s.output}/{files.named(stem, tail, at)}"
     hide = lambda df: privacy.masked(privacy.anonymised(df) if s.anonymise else df) if s.mask else privacy.anonymised(df) if s.anonymise else df
     document = report(a)
+    keys = {k: hide(v) for k, v in report_keys(a).items()}
     if s.compare:
-        document["statistics"]["baseline_diff"] = report_diff(files.read_json(spark, s.compare) or {}, document)
+        before = files.read_json(spark, s.compare) or {}
+        told = report_diff(kept_keys(spark, before), keys)
+        document["statistics"]["baseline_diff"] = {"counts": files.rows_of(told.groupBy("change").count().orderBy("change")), **{name: files.rows_of(told.where(F.col("change") == change).orderBy("value").limit(SHOWN).select(*columns)) for name, (change, columns) in CHANGES.items()}}
+        out["baseline_diff"] = place("baseline_diff", "csv")
+        files.write_csv(told.orderBy("change", "value"), out["baseline_diff"])
     if "json" in s.formats:
         out["json"] = place("analysis_report", "json")
+        document["tables"] = {k: place(f"report_{k}", "parquet") for k in keys}
+        for k, v in keys.items():
+            v.write.mode("overwrite").parquet(document["tables"][k])
         files.write_json(spark, document, out["json"])
     if "csv" in s.formats:
         audit = spark.createDataFrame(document["statistics"]["audit_workbook"]["findings"] or [], "finding_id string, severity string, category string, evidence string, techniques array<string>, remediation string")
-        tables = {"assets": components.tagged(a.assets), "ot_assets": asset_ops.ot_assets(a.assets), "flows": files.exported_flows(a.flows, s.most_flows or files.MOST_FLOWS), "anomalies": rules.ordered(a.events), "audit_findings": audit}
+        tables = {"assets": components.tagged(a.assets), "ot_assets": asset_ops.ot_assets(a.assets), "flows": files.exported_flows(a.flows, s.most_flows), "anomalies": rules.ordered(a.events), "audit_findings": audit}
         out |= files.write_bundle({k: hide(v) for k, v in tables.items()}, s.output, at)
     if "ndjson" in s.formats:
         out["ndjson"] = place("anomalies", "ndjson")
@@ -167,23 +176,41 @@ def export(a: Analysis) -> dict[str, str]:
     return out
 
 
-def report_diff(before: dict, now: dict) -> dict:
-    """What two report documents tell apart: addresses, labels, events of each rule. Labels of several protocols count as they are."""
-    ips = lambda d: {x["ip_address"] for x in d.get("assets") or [] if x.get("ip_address")}
-    labels = lambda d: {x["ics_protocol"] for x in d.get("flows") or [] if x.get("ics_protocol")}
+#: What a comparison of reports lists, by kind of change.
+CHANGES = {"new_asset_ips": ("new asset", ["value"]), "removed_asset_ips": ("removed asset", ["value"]), "new_ics_protocols_in_flows": ("new protocol", ["value"]), "removed_ics_protocols_in_flows": ("removed protocol", ["value"]), "anomaly_rule_count_deltas": ("rule count", ["value", "before", "now", "delta"])}
 
-    def counts(d: dict) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for x in d.get("anomalies") or []:
-            if x.get("rule_id"):
-                out[x["rule_id"]] = out.get(x["rule_id"], 0) + 1
-        return out
 
-    b, n = counts(before), counts(now)
+def report_keys(a: Analysis) -> dict[str, DataFrame]:
+    """What later reports are compared by, whole: addresses, protocol labels of flows, events of each rule."""
     return {
-        "new_asset_ips": sorted(ips(now) - ips(before)), "removed_asset_ips": sorted(ips(before) - ips(now)), "new_ics_protocols_in_flows": sorted(labels(now) - labels(before)), "removed_ics_protocols_in_flows": sorted(labels(before) - labels(now)),
-        "anomaly_rule_count_deltas": [{"rule_id": r, "baseline_count": b.get(r, 0), "current_count": n.get(r, 0), "delta": n.get(r, 0) - b.get(r, 0)} for r in sorted(b | n) if b.get(r, 0) != n.get(r, 0)],
-    }
+        "assets": a.assets.select("ip_address").where("ip_address is not null").distinct(),
+        "protocols": a.flows.select("ics_protocol").where("ics_protocol is not null").distinct(),
+        "rules": a.events.where("rule_id is not null").groupBy("rule_id").agg(F.count("*").alias("events")),
+    }
+
+
+def kept_keys(spark: SparkSession, document: dict) -> dict[str, DataFrame]:
+    """The same of a report written before: its tables, or the lists of a document that has none."""
+    if document.get("tables"):
+        return {k: spark.read.parquet(path) for k, path in document["tables"].items()}
+    of = lambda name, key: spark.createDataFrame([(x[key],) for x in document.get(name) or [] if x.get(key)], f"{key} string")
+    return {"assets": of("assets", "ip_address").distinct(), "protocols": of("flows", "ics_protocol").distinct(), "rules": of("anomalies", "rule_id").groupBy("rule_id").agg(F.count("*").alias("events"))}
+
+
+def report_diff(before: dict[str, DataFrame], now: dict[str, DataFrame]) -> DataFrame:
+    """change, value, before, now, delta: addresses and labels that only one report has, and rules whose number of events differs.
+
+    Labels of several protocols count as they are.
+    """
+    only = lambda a, b, kind, key: a.select(key).subtract(b.select(key)).select(F.lit(kind).alias("change"), F.col(key).alias("value"), *[F.lit(None).cast("long").alias(c) for c in ("before", "now", "delta")])
+    both = before["rules"].select("rule_id", F.col("events").alias("b")).join(now["rules"].select("rule_id", F.col("events").alias("n")), "rule_id", "full_outer")
+    b, n = F.coalesce("b", F.lit(0)), F.coalesce("n", F.lit(0))
+    counts = both.where(b != n).select(F.lit("rule count").alias("change"), F.col("rule_id").alias("value"), b.alias("before"), n.alias("now"), (n - b).alias("delta"))
+    out = counts
+    for kind, key in (("asset", "ip_address"), ("protocol", "ics_protocol")):
+        old, new = before[f"{kind}s"], now[f"{kind}s"]
+        out = out.unionByName(only(new, old, f"new {kind}", key)).unionByName(only(old, new, f"removed {kind}", key))
+    return out
 
 
 # ---- behaviour over time ----

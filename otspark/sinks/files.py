@@ -18,8 +18,6 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 from otspark.sources import pcap, ranged
 
-#: Flows that an export holds, at most, unless asked otherwise; 0: all.
-MOST_FLOWS = 1_000_000
 #: Packets that a capture file is written of at a time.
 CHUNK = 10_000
 
@@ -66,7 +64,7 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def exported_flows(flows: DataFrame, most: int = MOST_FLOWS) -> DataFrame:
+def exported_flows(flows: DataFrame, most: int = 0) -> DataFrame:
     """The flows with most packets, `most` of them; 0 is all."""
     return flows.orderBy(F.desc("packet_count"), "first_file", "first_packet").limit(most) if most else flows
 

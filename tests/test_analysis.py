@@ -50,8 +50,11 @@ def test_exports(spark, place, found):
     local = {k: v.removeprefix("file://") for k, v in out.items()}
     assert set(local) == {"json", "assets", "ot_assets", "flows", "anomalies", "audit_findings", "ndjson", "html", "map", "graphml", "subset"}
     document = json.loads(open(local["json"]).read())
-    assert analysis.report_diff({}, document)["new_asset_ips"] == ["10.0.0.1", "10.0.0.2"]
-    assert analysis.report_diff(document, document)["anomaly_rule_count_deltas"] == []
+    kept, none = analysis.kept_keys(spark, document), analysis.kept_keys(spark, {})
+    assert sorted(r.value for r in analysis.report_diff(none, kept).where("change = 'new asset'").collect()) == ["10.0.0.1", "10.0.0.2"]
+    assert analysis.report_diff(kept, kept).count() == 0
+    listed = analysis.kept_keys(spark, {k: v for k, v in document.items() if k != "tables"})  # a document with lists alone
+    assert analysis.report_diff(listed, kept).count() == 0
     flows_ = spark.read.csv(out["flows"], header=True)
     assert flows_.count() == 3 and flows_.columns == sorted(flows_.columns)
     assert spark.read.json(out["ndjson"]).where("rule_id = 'MB-001'").count() == 2
@@ -170,3 +173,27 @@ def test_streams(spark, place, found, tmp_path):
 def test_flow_exports(found):
     assert files.exported_flows(found.flows, 1).count() == 1 and files.exported_flows(found.flows, 0).count() == 3
     assert flows.write_meaning() is not None
+
+
+def test_reports_of_many_assets_are_compared_whole(spark, found, tmp_path):
+    import dataclasses
+
+    def with_more(name, first, last, rules):
+        more = spark.range(first, last).select(F.concat(F.lit("10.9."), F.floor(F.col("id") / 250).cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("ip_address"))
+        events = found.events.select("rule_id").limit(0).unionByName(spark.range(rules).select(F.lit("MB-001").alias("rule_id")))
+        events = found.events.limit(0).unionByName(events, allowMissingColumns=True)
+        a = dataclasses.replace(found, assets=found.assets.unionByName(more, allowMissingColumns=True), events=events)
+        return dataclasses.replace(a, settings=dataclasses.replace(a.settings, output=f"file://{tmp_path}/{name}", formats=("json",), subset=None, compare=None if name == "a" else f"file://{tmp_path}/a/analysis_report.json"))
+
+    analysis.export(with_more("a", 0, 5000, 1500))
+    out = analysis.export(with_more("b", 40, 5010, 2700))
+    told = spark.read.csv(out["baseline_diff"], header=True).groupBy("change").count().collect()
+    assert {r.change: r["count"] for r in told} == {"new asset": 10, "removed asset": 40, "rule count": 1}
+    diff = json.loads(open(out["json"].removeprefix("file://")).read())["statistics"]["baseline_diff"]
+    assert diff["anomaly_rule_count_deltas"] == [{"value": "MB-001", "before": 1500, "now": 2700, "delta": 1200}]
+    assert len(diff["removed_asset_ips"]) == 40 and {"value": "10.9.0.0"} in diff["removed_asset_ips"]
+
+
+def test_no_limit_of_flows_is_all(spark):
+    many = spark.range(1_000_050).select(F.col("id").alias("packet_count"), F.lit(0).alias("first_file"), F.col("id").alias("first_packet"))
+    assert files.exported_flows(many).count() == 1_000_050 and files.exported_flows(many, 7).count() == 7
