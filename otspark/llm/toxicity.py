@@ -10,7 +10,9 @@ words with a marginal of a half or more are the offending offsets.
 
 Fitting uses at most SAMPLE documents of each label with SAMPLE_CHARS characters
 together, the first by a seeded hash of the id, from the rows outside the held-out
-fold, in one task; the bounds are parameters. Of rows that share an id one text is
+fold, in one task; a text that does not fit into what is left of them is not learned
+from, the next ones are. The field learns from all sentences with a toxic word and from
+as many without (CLEAN at least). The bounds are parameters. Of rows that share an id one text is
 learned from, that with the least hash. The
 ratio of the labels in all rows of the training folds corrects for the sampling.
 Only texts and labels.toxic are read.
@@ -39,6 +41,8 @@ from otspark.llm.common import crc_mod, text_of, whole
 SAMPLE = 1500
 #: Characters of the documents of a label that it is fitted on, at most; documents that would go beyond are not learned from.
 SAMPLE_CHARS = 30_000_000
+#: Sentences without a toxic word that the field is trained on: so many, or as many as there are with one.
+CLEAN = 3000
 FOLDS = 5
 HASHED = 1 << 17
 FEATURES = 9
@@ -118,8 +122,8 @@ def sentences(units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return real, lengths, doc[real]
 
 
-def train(rows: Iterable[tuple[str, int]], positive: float) -> Model:
-    """A model of (whole text, label) rows; positive: ratio of label 1 in all rows of the training folds.
+def train(rows: Iterable[tuple[str, int]], positive: float, clean: int = CLEAN) -> Model:
+    """A model of (whole text, label) rows; positive: ratio of label 1 in all rows of the training folds; clean: sentences without a toxic word.
 
     Texts are read once and kept as word numbers, so that memory goes with 4 bytes a word.
     """
@@ -143,7 +147,7 @@ def train(rows: Iterable[tuple[str, int]], positive: float) -> Model:
     tags = ((held[feats].sum(1) > 0)[words] & (toxic == 1)[doc]).astype(np.int64)
     of = np.repeat(np.arange(len(lengths)), lengths)  # the sentence of each word
     marked = np.bincount(of, tags, len(lengths)) > 0
-    plain = np.random.default_rng(3).permutation(np.flatnonzero(~marked))[: max(3000, int(marked.sum()))]
+    plain = np.random.default_rng(3).permutation(np.flatnonzero(~marked))[: max(clean, int(marked.sum()))]
     use = np.zeros(len(lengths), bool)
     use[plain] = use[marked] = True
     inside = use[of]
@@ -221,7 +225,7 @@ def offsets(text: str, p: np.ndarray) -> list[str]:
     return [f"{a}:{b}" for a, b in out]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS, clean: int = CLEAN) -> Model:
     """Trains in one task on a bounded sample; the driver gets the weights (a megabyte), never a text."""
     known = labels.select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("_y")).where("_y in (0, 1)").where(crc_mod(F.col("_id"), FOLDS) != 0)
     n = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -237,11 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
         def labelled() -> Iterator[tuple[str, int]]:
             for b in batches:
                 for y, t in zip(b._y.tolist(), b._text):
-                    room[y] -= len(t)
-                    if room[y] >= 0:
+                    if len(t) <= room[y]:  # a text that does not fit takes no room from the others
+                        room[y] -= len(t)
                         yield t, y
 
-        m = train(labelled(), positive)
+        m = train(labelled(), positive, clean)
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "transitions": [m.transitions.tobytes()], "fit": [m.fit.tobytes()]})
 
     made = one.repartition(1).sortWithinPartitions(first, "_id", "_y").mapInPandas(task, "weights binary, transitions binary, fit binary").collect() if n else []
@@ -250,9 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: s
     return Model(np.frombuffer(made[0].weights), np.frombuffer(made[0].transitions).reshape(2, 2), np.frombuffer(made[0].fit))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS, clean: int = CLEAN) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted, spans (offending offsets)."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, id_col=id_col, label_col=label_col, sample=sample, chars=chars))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, id_col=id_col, label_col=label_col, sample=sample, chars=chars, clean=clean))
     scored = scorer(shared)
     out = docs.select(docs[id_col].alias("doc_id"), (crc_mod(docs[id_col], FOLDS) == 0).alias("held_out"), scored(text_of(docs, text_col)).alias("_s"))
     return out.select("doc_id", "held_out", F.col("_s.score").alias("score"), F.when(F.col("_s.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.col("_s.spans").alias("spans"))

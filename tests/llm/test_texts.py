@@ -288,3 +288,17 @@ def test_pii_long_runs():
     assert base == [] and every == [] and time.time() - start < 20
     _, every = pii.all_spans("token=" + "abcdef" * 15 + "9f8 end", w)
     assert every == [(6, 99, "secret")]
+
+
+def test_one_huge_labelled_text_leaves_the_others(spark):
+    from pyspark.sql import functions as F
+
+    from otspark.llm import toxicity
+
+    rows = [(i, ("zzvile you awful grubble. " if i % 2 else "calm pleasant day here. ") * 3 + f"word{i}.") for i in range(200)]
+    order = spark.range(200).select("id", F.xxhash64("id", F.lit(17)).alias("h"), F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).where("id % 2 = 1 AND c % 5 != 0").orderBy("h").first().id
+    rows[order] = (order, "zzvile " * 20_000)  # the first of its label, longer than all the room
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels, chars=100_000).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
