@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
     """query_id, rank (from 1), vec_id, score: the k rows with the highest inner products for each query (ids that 50 divides, unless told otherwise)."""
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, id_col, vec_col, scale)
-    most = rows.agg(F.max(F.size("_v")).alias("dim"), F.max(F.array_max(F.transform("_v", lambda x: F.greatest(x, -(x + 1))))).alias("top")).first()
+    most = rows.agg(F.max(F.size("_v")).alias("dim"), F.max(F.array_max(F.transform("_v", lambda x: F.greatest(x, F.bitwise_not(x))))).alias("top")).first()
     if most.dim is None:
         return spark.createDataFrame([], RESULT)
     dim, top = most.dim, (most.top or 0) + 1
