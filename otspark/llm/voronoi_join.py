@@ -137,8 +137,10 @@ def answers(shelf: list[tuple[bytes, list[dict]]], queries: list[tuple[int, int,
     step = max(1, BLOCK // max(1, len(shelf)))
     for at in range(0, len(queries), step):
         scores = asked[at : at + step] @ data.T if dim else np.zeros((len(asked[at : at + step]), len(shelf)))
+        if not exact:
+            scores = np.maximum(np.minimum(scores, LONG), -LONG - 1)
         for i, (row, name, _) in enumerate(queries[at : at + step]):
-            found = [(-max(-LONG - 1, min(LONG, int(scores[i, j]))), x["vec_id"] is None, x["vec_id"] or 0, x["_row"]) for j in best_of(scores[i], k + 1) for x in shelf[j][1] if x["_row"] != row]
+            found = [(-int(scores[i, j]), x["vec_id"] is None, x["vec_id"] or 0, x["_row"]) for j in best_of(scores[i], k + 1) for x in shelf[j][1] if x["_row"] != row]
             for score, no_id, vec_id, other in sorted(found)[:k]:
                 yield row, name, -score, None if no_id else vec_id, other
 
@@ -204,7 +206,8 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            need = cells.needed(matrix(batch.column("_vec").to_pylist(), dim, kind), np.asarray(batch.column("_cell"))) & (shelves > 0)
+            need = cells.needed(matrix(batch.column("_vec").to_pylist(), dim, kind), np.asarray(batch.column("_cell"))) if exact else np.ones((batch.num_rows, 1), bool)  # scores set to the nearest long may tie anywhere
+            need = need & (shelves > 0)
             at, cell = np.nonzero(need)
             part = batch.select(["_row", "query_id", "_vec"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first[cell], pa.int64()), pa.array(first[cell + 1] - 1, pa.int64())], names=["_row", "query_id", "_vec", "_from", "_to"])
