@@ -107,9 +107,10 @@ def report(a: Analysis) -> dict:
     """The report: metadata, summary, assets, flows, topology, anomalies, statistics, components. Tables are cut at SHOWN rows."""
     s, rows = a.settings, files.rows_of
     short = lambda df: rows(df.limit(SHOWN))
-    m = findings.metrics(a.flows, a.assets, a.events, a.packets)
+    figures = graph.cut(findings.figures(a.flows, a.assets, a.events, a.packets))
+    m = findings.metrics(figures)
     valuable = rows(findings.valuable_targets(a.assets))
-    found = findings.audit(m)
+    found = rows(findings.audit(figures).orderBy("finding_id"))
     links = graph.links(a.flows, s.most_edges)
     matrix = flows.comm_matrix(a.flows)
     severity = {r["severity"]: r["count"] for r in rows(a.events.groupBy("severity").count())}
@@ -125,7 +126,7 @@ def report(a: Analysis) -> dict:
             "communication_matrix": short(flows.matrix_trim(matrix, s.most_matrix) if s.most_matrix else matrix), "communication_graph": short(links), "periodic_flows": short(flows.periodic_flows(a.flows)), "top_flows_detailed": rows(flows.top_flows(a.flows)), "deep_survey": survey_document(a.packets), "learned": rows(compare.learned(a.frames)),
             "pentest_insights": {"passive_findings": findings.threats(m) + findings.insights(m), "summary_counts": findings.summary_counts(m, len(valuable)), "write_sources": [r["src_ip"] for r in rows(findings.write_sources(a.flows))], "flows_with_exceptions": rows(findings.exception_flows(a.flows)), "segmentation_observations": rows(findings.crossing_flows(a.flows)), "high_value_targets": valuable, "anomaly_severity_distribution": severity},
             "threat_patterns": {"modbus_write_flows": rows(findings.write_flows(a.flows)), "s7_critical_flows": rows(findings.s7_critical_flows(a.flows)), "it_remote_protocol_flows": rows(findings.busiest(flows.it_edge_flows(a.flows), findings.MOST["it"])), "sequential_ics_access_hints": rows(findings.many_target_sources(a.flows, a.assets)), "modbus_read_non_engineering_hints": rows(findings.busiest(flows.unauthorized_reads(a.flows, a.assets), findings.MOST["reads"])), "executive_findings": findings.threats(m)},
-            "audit_workbook": {"findings": found, "finding_counts_by_severity": {k: sum(f["severity"] == k for f in found) for k in findings.WEIGHTS}, "passive_exposure_index": findings.exposure(found), "write_flow_samples": rows(findings.write_samples(a.flows)), "external_facing_assets": rows(findings.public_assets(a.assets)), "assets_with_remote_admin_ports": rows(findings.admin_assets(a.assets)), "techniques": [findings.technique(t) for t in sorted({t for f in found for t in f["techniques"]})]},
+            "audit_workbook": {"findings": found, "finding_counts_by_severity": {k: sum(f["severity"] == k for f in found) for k in findings.WEIGHTS}, "passive_exposure_index": findings.exposure(figures).first()[0], "write_flow_samples": rows(findings.write_samples(a.flows)), "external_facing_assets": rows(findings.public_assets(a.assets)), "assets_with_remote_admin_ports": rows(findings.admin_assets(a.assets)), "techniques": [findings.technique(t) for t in sorted({t for f in found for t in f["techniques"]})]},
             "event_timeline": short(rules.timeline(a.events)), "anomaly_stats": {"total_anomalies": sum(severity.values()), "severity_distribution": severity},
         },
         "topology": {"nodes": short(graph.link_nodes(links, a.assets)), "edges": short(links), "zones": short(graph.zones(a.assets)), "stats": rows(graph.graph_stats(links))[0]} if s.with_topology else {},

@@ -142,28 +142,40 @@ class Metrics:
         return round(self.syn_only / max(self.with_payload, 1), 4)
 
 
-def metrics(flows: DataFrame, assets: DataFrame, events: DataFrame, packets: DataFrame) -> Metrics:
-    """One job over flows, one over sources, one each over assets and events, and a few over packets."""
+def figures(flows: DataFrame, assets: DataFrame, events: DataFrame, packets: DataFrame) -> DataFrame:
+    """One row with the columns of Metrics: aggregates of one row each over flows, assets, events and packets, put side by side."""
     src, dst = F.col("src_ip"), F.col("dst_ip")
     crossing = (is_private(src) & is_public(dst)) | (is_public(src) & is_private(dst))
     it = F.col("dst_port").isin(*IT_EDGE) | F.col("src_port").isin(*IT_EDGE)
-    f = flows.agg(
-        F.count_if("has_write_operations").alias("w"), F.countDistinct(F.when(F.col("has_write_operations"), src)).alias("ws"), F.count_if(F.col("exception_count") > 0).alias("e"), F.count_if(crossing).alias("c"),
-        F.count_if(F.size("modbus_write_fcs_seen") > 0).alias("m"), F.count_if(F.exists("s7_service_codes_seen", lambda c: c.isin(*S7_CRITICAL))).alias("s"), F.count_if(it).alias("i"),
-    ).first()
     on = lambda *of: F.arrays_overlap("open_ports", F.array(*map(F.lit, of)))
-    a = assets.agg(F.count_if(on(*ADMIN_PORTS)).alias("admin"), F.count_if(is_public(F.col("ip_address"))).alias("public"), F.count_if(F.array_contains("protocols_seen", "SNMP") | on(161, 162)).alias("snmp")).first()
-    e = {r.severity: r["count"] for r in events.groupBy("severity").count().collect()}
-    t = survey.tcp_behaviour(packets).first()
-    p = packets.agg(F.count_if(F.col("eth_type") == 0x0806).alias("arp"), F.count_if(dst == "255.255.255.255").alias("b")).first()
-    seen = cleartext.observations(survey.on_network(packets)).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("sensitivity") == "HIGH").alias("high")).collect()
-    return Metrics(
-        write_flows=f.w, writers=f.ws, exception_flows=f.e, crossing=f.c, modbus_writes=f.m, s7_critical=f.s, it_flows=f.i, many_targets=flow_ops.multi_target_sources(flows).count(),
-        admin_assets=a.admin, public_assets=a.public, snmp_assets=a.snmp, critical_events=e.get("CRITICAL", 0), high_events=e.get("HIGH", 0),
-        syn_only=t.syn_without_ack, with_payload=t.with_payload, arp=p.arp, broadcasts=p.b,
-        marks=sum(r.packets for r in survey.tool_marks(packets).collect()), credentials=survey.credentials(packets).count(), repeats=survey.repeated_payloads(packets).count(),
-        hints={r.hint: r.packets for r in survey.hints(packets).collect()}, observed={r.category: r.n for r in seen}, high_observed=sum(r.high for r in seen),
-    )
+    counts = lambda df, key, n: df.agg(F.map_from_entries(F.collect_list(F.struct(key, n))).alias("_m"))  # noqa: E731  a few kinds
+    tcp = survey.tcp_behaviour(packets)
+    seen = cleartext.observations(survey.on_network(packets)).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("sensitivity") == "HIGH").alias("high"))
+    parts = [
+        flows.agg(
+            F.count_if("has_write_operations").alias("write_flows"), F.countDistinct(F.when(F.col("has_write_operations"), src)).alias("writers"), F.count_if(F.col("exception_count") > 0).alias("exception_flows"), F.count_if(crossing).alias("crossing"),
+            F.count_if(F.size("modbus_write_fcs_seen") > 0).alias("modbus_writes"), F.count_if(F.exists("s7_service_codes_seen", lambda c: c.isin(*S7_CRITICAL))).alias("s7_critical"), F.count_if(it).alias("it_flows"),
+        ),
+        flow_ops.multi_target_sources(flows).agg(F.count("*").alias("many_targets")),
+        assets.agg(F.count_if(on(*ADMIN_PORTS)).alias("admin_assets"), F.count_if(is_public(F.col("ip_address"))).alias("public_assets"), F.count_if(F.array_contains("protocols_seen", "SNMP") | on(161, 162)).alias("snmp_assets")),
+        events.agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical_events"), F.count_if(F.col("severity") == "HIGH").alias("high_events")),
+        tcp.select(F.col("syn_without_ack").alias("syn_only"), "with_payload"),
+        packets.agg(F.count_if(F.col("eth_type") == 0x0806).alias("arp"), F.count_if(dst == "255.255.255.255").alias("broadcasts")),
+        survey.tool_marks(packets).agg(F.coalesce(F.sum("packets"), F.lit(0)).alias("marks")),
+        survey.credentials(packets).agg(F.count("*").alias("credentials")),
+        survey.repeated_payloads(packets).agg(F.count("*").alias("repeats")),
+        counts(survey.hints(packets), "hint", "packets").withColumnRenamed("_m", "hints"),
+        seen.agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("observed"), F.coalesce(F.sum("high"), F.lit(0)).alias("high_observed")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p), how="inner")  # one row each
+    return out
+
+
+def metrics(figures: DataFrame) -> Metrics:
+    """The figures as plain values, by one job."""
+    return Metrics(**figures.first().asDict())
 
 
 # ---- findings ----
@@ -207,41 +219,56 @@ def threats(m: Metrics) -> list[dict[str, str]]:
     return [{"severity": s, "title": t, "detail": d} for on, s, t, d in every if on]
 
 
-def audit(m: Metrics) -> list[dict]:
-    """The findings of the audit catalog that hold, numbered in its order."""
-    hints, observed = m.hints or {}, m.observed or {}
-    readable = "HIGH" if set(cleartext.RISKY) & set(observed) or m.high_observed else "MEDIUM"
-    detection = "HIGH" if m.critical_events else "MEDIUM"
-    has = lambda hint: hints.get(hint, 0) > 0
-    every = [
-        (m.write_flows, "HIGH", "WRITE_SURFACE", "flows that write to devices", ["T0855"], "allow writes from named stations alone"),
-        (m.exception_flows, "MEDIUM", "PROTOCOL_HEALTH", "flows with exceptions", ["T0869"], "find out which requests devices refuse"),
-        (m.crossing, "HIGH", "SEGMENTATION", "flows between private and public addresses", ["T0886", "T0846"], "end such flows at a border station"),
-        (has("telnet_port"), "CRITICAL", "CLEARTEXT_REMOTE", "Telnet", ["T0807"], "replace Telnet by an encrypted shell"),
-        (has("ftp_banner"), "MEDIUM", "CLEARTEXT_REMOTE", "FTP", ["T0869"], "replace FTP by an encrypted transfer"),
-        (has("ssh_banner"), "LOW", "REMOTE_ACCESS_VISIBILITY", "SSH", ["T1021"], "compare with the list of allowed stations"),
-        (has("http_like"), "LOW", "IT_PROTOCOL_IN_OT", "web requests", ["T1071"], "find out what serves web pages"),
-        (bool(observed), readable, "CLEARTEXT_OT_PAYLOAD", "readable industrial messages", ["T1040", "T0869"], "encrypt or separate the way"),
-        (m.syn_only > SYN_NOISE, "LOW", "DISCOVERY_NOISE", "connection attempts", ["T0846"], "find who tries to connect"),
-        (m.admin_assets, "HIGH", "REMOTE_ADMIN_EXPOSURE", "assets with ports of remote administration", ["T0822"], "put them behind a jump station"),
-        (m.public_assets, "HIGH", "EXTERNAL_FACING", "assets with public addresses", ["T0886", "T0846"], "check what they are for"),
-        (m.snmp_assets, "MEDIUM", "MANAGEMENT_PLANE", "assets that are managed by SNMP", ["T0869"], "use version 3 with encryption"),
-        (m.critical_events + m.high_events, detection, "DETECTION_ENGINE", "grave events of rules", ["T0855"], "look at the events"),
-        (m.modbus_writes, "CRITICAL", "MODBUS_WRITE_TRAFFIC", "Modbus flows that write", ["T0855"], "compare with planned changes"),
-        (m.s7_critical, "CRITICAL", "S7_CRITICAL_SERVICES", "S7 flows that write, download or stop", ["T0855"], "compare with planned changes"),
-        (m.it_flows, "HIGH", "IT_REMOTE_IN_OT_CAPTURE", "flows on ports of office services", ["T0886", "T0846"], "separate office and plant"),
-        (m.many_targets, "HIGH", "ICS_MULTI_TARGET_SOURCE", "addresses that ask many devices", ["T0846"], "find out whether they may"),
-    ]
-    held = [x for x in every if x[0]]
+def catalog() -> list[tuple[Column, Column | None, Column | str, str, str, list[str], str]]:
+    """The audit's findings in order: whether one holds, of how many, severity, category, of what, techniques, what to do; columns of figures()."""
+    n = F.col
+    readable = F.when(F.exists(F.map_keys("observed"), lambda c: c.isin(*cleartext.RISKY)) | (n("high_observed") > 0), "HIGH").otherwise("MEDIUM")
+    detection = F.when(n("critical_events") > 0, "HIGH").otherwise("MEDIUM")
+    hint = lambda name: F.coalesce(F.try_element_at("hints", F.lit(name)), F.lit(0)) > 0
+    of = lambda c, *rest: (c > 0, c, *rest)
+    yes = lambda c, *rest: (c, None, *rest)
     return [
-        {"finding_id": f"AUD-{i:03d}", "severity": s, "category": c, "evidence": what if isinstance(n, bool) else f"{n} {what}", "techniques": codes, "remediation": do}
-        for i, (n, s, c, what, codes, do) in enumerate(held, 1)
+        of(n("write_flows"), "HIGH", "WRITE_SURFACE", "flows that write to devices", ["T0855"], "allow writes from named stations alone"),
+        of(n("exception_flows"), "MEDIUM", "PROTOCOL_HEALTH", "flows with exceptions", ["T0869"], "find out which requests devices refuse"),
+        of(n("crossing"), "HIGH", "SEGMENTATION", "flows between private and public addresses", ["T0886", "T0846"], "end such flows at a border station"),
+        yes(hint("telnet_port"), "CRITICAL", "CLEARTEXT_REMOTE", "Telnet", ["T0807"], "replace Telnet by an encrypted shell"),
+        yes(hint("ftp_banner"), "MEDIUM", "CLEARTEXT_REMOTE", "FTP", ["T0869"], "replace FTP by an encrypted transfer"),
+        yes(hint("ssh_banner"), "LOW", "REMOTE_ACCESS_VISIBILITY", "SSH", ["T1021"], "compare with the list of allowed stations"),
+        yes(hint("http_like"), "LOW", "IT_PROTOCOL_IN_OT", "web requests", ["T1071"], "find out what serves web pages"),
+        yes(F.size("observed") > 0, readable, "CLEARTEXT_OT_PAYLOAD", "readable industrial messages", ["T1040", "T0869"], "encrypt or separate the way"),
+        yes(n("syn_only") > SYN_NOISE, "LOW", "DISCOVERY_NOISE", "connection attempts", ["T0846"], "find who tries to connect"),
+        of(n("admin_assets"), "HIGH", "REMOTE_ADMIN_EXPOSURE", "assets with ports of remote administration", ["T0822"], "put them behind a jump station"),
+        of(n("public_assets"), "HIGH", "EXTERNAL_FACING", "assets with public addresses", ["T0886", "T0846"], "check what they are for"),
+        of(n("snmp_assets"), "MEDIUM", "MANAGEMENT_PLANE", "assets that are managed by SNMP", ["T0869"], "use version 3 with encryption"),
+        of(n("critical_events") + n("high_events"), detection, "DETECTION_ENGINE", "grave events of rules", ["T0855"], "look at the events"),
+        of(n("modbus_writes"), "CRITICAL", "MODBUS_WRITE_TRAFFIC", "Modbus flows that write", ["T0855"], "compare with planned changes"),
+        of(n("s7_critical"), "CRITICAL", "S7_CRITICAL_SERVICES", "S7 flows that write, download or stop", ["T0855"], "compare with planned changes"),
+        of(n("it_flows"), "HIGH", "IT_REMOTE_IN_OT_CAPTURE", "flows on ports of office services", ["T0886", "T0846"], "separate office and plant"),
+        of(n("many_targets"), "HIGH", "ICS_MULTI_TARGET_SOURCE", "addresses that ask many devices", ["T0846"], "find out whether they may"),
     ]
 
 
-def exposure(found: list[dict]) -> int:
-    """Weights of the findings' severities, a hundred at most."""
-    return min(MOST_EXPOSURE, sum(WEIGHTS.get(x["severity"], 0) for x in found))
+def _holding() -> Column:
+    """The findings of the catalog that hold, in its order."""
+    as_column = lambda s: F.lit(s) if isinstance(s, str) else s
+    entry = lambda on, n, severity, category, what, codes, do: F.struct(
+        on.alias("on"), as_column(severity).alias("severity"), F.lit(category).alias("category"), (F.lit(what) if n is None else F.concat(n.cast("string"), F.lit(f" {what}"))).alias("evidence"),
+        F.array(*map(F.lit, codes)).alias("techniques"), F.lit(do).alias("remediation"),
+    )
+    return F.filter(F.array(*[entry(*x) for x in catalog()]), lambda x: x["on"])
+
+
+def audit(figures: DataFrame) -> DataFrame:
+    """A row for each finding that holds, numbered in the order of the catalog."""
+    rows = figures.select(F.posexplode(_holding()).alias("_i", "_f"))
+    return rows.select(F.format_string("AUD-%03d", F.col("_i") + 1).alias("finding_id"), "_f.severity", "_f.category", "_f.evidence", "_f.techniques", "_f.remediation")
+
+
+def exposure(figures: DataFrame) -> DataFrame:
+    """One row: weights of the findings' severities, a hundred at most."""
+    weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
+    total = F.aggregate(_holding(), F.lit(0), lambda got, x: got + F.coalesce(F.try_element_at(weight, x["severity"]), F.lit(0)))
+    return figures.select(F.least(F.lit(MOST_EXPOSURE), total).cast("long").alias("exposure"))
 
 
 def summary_counts(m: Metrics, valuable: int) -> dict[str, int]:

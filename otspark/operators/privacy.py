@@ -11,7 +11,9 @@ from pyspark.sql.types import ArrayType, StringType
 
 from otspark.functions.net import pseudonym
 
-ADDRESS = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b"
+#: Four numbers up to 255, with leading zeros or without.
+OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+ADDRESS = rf"\b(?:{OCTET}\.){{3}}{OCTET}\b"
 HIDDEN = "[REDACTED]"
 # fixed values: names of fields that hold payloads or parts of them
 SENSITIVE = ("raw_bytes", "raw_payload", "payload_hex", "evidence_preview_hex", "evidence_preview_ascii", "http_context_excerpt", "snmp_community_redacted", "credential_hint_excerpt", "preview_hex", "excerpt", "community", "sample", "raw", "payload")

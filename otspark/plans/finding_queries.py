@@ -169,20 +169,54 @@ HELD = f"""WITH {TALK_SQL}, n AS (SELECT count(*) FILTER (tcp_flags = 2 AND tran
   (14, 'CRITICAL', 'MODBUS_WRITE_TRAFFIC', true), (16, 'HIGH', 'IT_REMOTE_IN_OT_CAPTURE', true), (17, 'HIGH', 'ICS_MULTI_TARGET_SOURCE', true)) AS t(place, severity, category, holds) WHERE holds)"""
 
 
-def _metrics(spark, sf_dir):
-    found, known = graph.cut(framed(spark, sf_dir)), graph.cut(inventory(spark, sf_dir))
-    return findings.metrics(found, known, rules.events(modbus_frames(spark, sf_dir)), talk(spark, sf_dir))
+def _figures(spark, sf_dir):
+    """Frames are worked out once, for flows, assets and events."""
+    rows = packets(spark, sf_dir)
+    frames = graph.cut(modbus_frames(spark, sf_dir))
+    found = flows.with_frames(flows.flow_build(rows), frames)
+    return findings.figures(graph.cut(found), assets.inventory(rows, frames), rules.events(frames), talk(spark, sf_dir))
 
 
 @register("audit_findings", HELD + " SELECT printf('AUD-%03d', row_number() OVER (ORDER BY place)) AS finding_id, severity, category FROM held")
 def audit_findings(spark, sf_dir):
-    found = findings.audit(_metrics(spark, sf_dir))
-    return spark.createDataFrame([(f["finding_id"], f["severity"], f["category"]) for f in found], "finding_id string, severity string, category string")
+    return findings.audit(_figures(spark, sf_dir)).select("finding_id", "severity", "category")
 
 
 @register("exposure_index", HELD + " SELECT CAST(least(100, sum(CASE severity WHEN 'CRITICAL' THEN 22 WHEN 'HIGH' THEN 12 WHEN 'MEDIUM' THEN 6 ELSE 2 END)) AS BIGINT) AS exposure FROM held")
 def exposure_index(spark, sf_dir):
-    return spark.createDataFrame([(findings.exposure(findings.audit(_metrics(spark, sf_dir))),)], "exposure long")
+    return findings.exposure(_figures(spark, sf_dir))
+
+
+#: Figures of groups of events: the n-th counts those of its own remainder with a small value, so that in each group other findings hold.
+_COUNTED = ("write_flows", "exception_flows", "crossing", "telnet_port", "ftp_banner", "ssh_banner", "http_like", "readable", "syn_only", "admin_assets", "public_assets", "snmp_assets", "critical_events", "high_events", "modbus_writes", "s7_critical", "it_flows", "many_targets", "high_observed")
+_GROUPED = "g AS (SELECT user_id % 211 AS grp, " + ", ".join(f"count(*) FILTER (event_id % 19 = {i} AND value < 12) AS {c}" for i, c in enumerate(_COUNTED)) + " FROM events GROUP BY 1)"
+#: The catalog in SQL: condition, severity, category.
+_CATALOG_SQL = (
+    ("write_flows > 0", "'HIGH'", "WRITE_SURFACE"), ("exception_flows > 0", "'MEDIUM'", "PROTOCOL_HEALTH"), ("crossing > 0", "'HIGH'", "SEGMENTATION"), ("telnet_port > 0", "'CRITICAL'", "CLEARTEXT_REMOTE"), ("ftp_banner > 0", "'MEDIUM'", "CLEARTEXT_REMOTE"), ("ssh_banner > 0", "'LOW'", "REMOTE_ACCESS_VISIBILITY"),
+    ("http_like > 0", "'LOW'", "IT_PROTOCOL_IN_OT"), ("readable > 0", "CASE WHEN high_observed > 0 THEN 'HIGH' ELSE 'MEDIUM' END", "CLEARTEXT_OT_PAYLOAD"), ("syn_only * 60 > 100", "'LOW'", "DISCOVERY_NOISE"), ("admin_assets > 0", "'HIGH'", "REMOTE_ADMIN_EXPOSURE"), ("public_assets > 0", "'HIGH'", "EXTERNAL_FACING"),
+    ("snmp_assets > 0", "'MEDIUM'", "MANAGEMENT_PLANE"), ("critical_events + high_events > 0", "CASE WHEN critical_events > 0 THEN 'HIGH' ELSE 'MEDIUM' END", "DETECTION_ENGINE"), ("modbus_writes > 0", "'CRITICAL'", "MODBUS_WRITE_TRAFFIC"), ("s7_critical > 0", "'CRITICAL'", "S7_CRITICAL_SERVICES"), ("it_flows > 0", "'HIGH'", "IT_REMOTE_IN_OT_CAPTURE"), ("many_targets > 0", "'HIGH'", "ICS_MULTI_TARGET_SOURCE"),
+)
+_GROUP_HELD = f"WITH {_GROUPED}, held AS (" + " UNION ALL ".join(f"SELECT grp, {i} AS place, {severity} AS severity, '{category}' AS category FROM g WHERE {on}" for i, (on, severity, category) in enumerate(_CATALOG_SQL)) + ")"
+
+
+def _group_figures(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    told = events.groupBy((F.col("user_id") % 211).alias("grp")).agg(*[F.count_if((F.col("event_id") % 19 == i) & (F.col("value") < 12)).alias(c) for i, c in enumerate(_COUNTED)])
+    hints = F.create_map(*[x for c in ("telnet_port", "ftp_banner", "ssh_banner", "http_like") for x in (F.lit(c), F.col(c))])
+    observed = F.when(F.col("readable") > 0, F.create_map(F.lit("readable"), F.col("readable"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    return told.withColumn("hints", hints).withColumn("observed", observed).withColumn("syn_only", F.col("syn_only") * 60)
+
+
+@register("audit_of_groups", _GROUP_HELD + " SELECT finding_id, severity, category, count(*) AS groups FROM (SELECT *, printf('AUD-%03d', row_number() OVER (PARTITION BY grp ORDER BY place)) AS finding_id FROM held) GROUP BY 1, 2, 3")
+def audit_of_groups(spark, sf_dir):
+    """All findings of the catalog, each holding in some of many groups."""
+    return findings.audit(_group_figures(spark, sf_dir)).groupBy("finding_id", "severity", "category").agg(F.count("*").alias("groups"))
+
+
+@register("exposure_of_groups", _GROUP_HELD + " SELECT exposure, count(*) AS groups FROM (SELECT g.grp, CAST(least(100, coalesce(sum(CASE severity WHEN 'CRITICAL' THEN 22 WHEN 'HIGH' THEN 12 WHEN 'MEDIUM' THEN 6 WHEN 'LOW' THEN 2 END), 0)) AS BIGINT) AS exposure FROM g LEFT JOIN held ON g.grp = held.grp GROUP BY g.grp) GROUP BY exposure")
+def exposure_of_groups(spark, sf_dir):
+    """Indexes on both sides of the cap."""
+    return findings.exposure(_group_figures(spark, sf_dir)).groupBy("exposure").agg(F.count("*").alias("groups"))
 
 
 # ---- comparison ----
@@ -231,10 +265,10 @@ def rare_codes(spark, sf_dir):
 # ---- privacy and views ----
 
 
-@register("anonymous_texts", "SELECT doc_id, length(text) - length(regexp_replace(text, '\\b((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\b', '', 'g')) > 0 AS had, false AS kept FROM documents WHERE text IS NOT NULL")
+@register("anonymous_texts", "SELECT doc_id, length(text) - length(regexp_replace(text, '\\b((25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})\\b', '', 'g')) > 0 AS had, false AS kept FROM documents")
 def anonymous_texts(spark, sf_dir):
     """Texts in which an address was found, and whether it is still there; texts without one are as they were."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     told = rows.withColumn("clean", privacy.without_addresses(F.col("text"))).withColumn("first", F.regexp_extract("text", privacy.ADDRESS, 0))
     return told.select("doc_id", (F.col("clean") != F.col("text")).alias("had"), ((F.col("first") != "") & F.regexp_like("clean", F.concat(F.lit(r"(?<![0-9.])\Q"), "first", F.lit(r"\E(?![0-9.])")))).alias("kept"))
 

@@ -197,3 +197,11 @@ def test_reports_of_many_assets_are_compared_whole(spark, found, tmp_path):
 def test_no_limit_of_flows_is_all(spark):
     many = spark.range(1_000_050).select(F.col("id").alias("packet_count"), F.lit(0).alias("first_file"), F.col("id").alias("first_packet"))
     assert files.exported_flows(many).count() == 1_000_050 and files.exported_flows(many, 7).count() == 7
+
+
+def test_addresses_with_leading_zeros_are_replaced(spark):
+    texts = ["at 192.168.001.010 and 10.0.0.1.", "version 1.2.3.4.5", "300.1.1.1", "010.000.000.255!", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("clean", privacy.without_addresses(F.col("text")))
+    got = {r.text: r.clean for r in df.collect()}
+    assert "192.168.001.010" not in got[texts[0]] and "10.0.0.1" not in got[texts[0]] and "010.000.000.255" not in got[texts[3]]
+    assert got[None] is None
