@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from otspark.operators.survey import nearest_rank
+from otspark.operators import sketches
 
 RARE_PERCENT = 10.0
 PEERS, SHOWN_PEERS, SOURCES = 8, 16, 8
@@ -23,8 +23,8 @@ def edges(flows: DataFrame) -> DataFrame:
 
 def rare_edges(found: DataFrame, percent: float = RARE_PERCENT, most: int = 200) -> DataFrame:
     """Edges of at most as many packets as the percentile by nearest rank."""
-    threshold = nearest_rank(found, "packets", percent)
-    return found.where((F.col("packets") <= threshold) & (F.col("packets") > 0)).orderBy("packets", "src_ip", "dst_ip").limit(most)
+    bound = sketches.ranks(found, "packets", [percent]).select("value")  # one row
+    return found.join(F.broadcast(bound), how="inner").where((F.col("packets") <= F.col("value")) & (F.col("packets") > 0)).drop("value").orderBy("packets", "src_ip", "dst_ip").limit(most)
 
 
 def hosts(found: DataFrame, most: int = 50) -> DataFrame:

@@ -6,12 +6,12 @@ frames of layer two only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otspark.functions.dims import PORTS
 from otspark.functions.net import byte_array, is_private, is_public, size
-from otspark.operators import cleartext
+from otspark.operators import cleartext, sketches
 from otspark.sources.packets import ORDER
 
 #: Rows of the tables of ports, protocols, ethertypes, names, hosts, TLS ports, industrial ports.
@@ -161,11 +161,6 @@ def timeline(packets: DataFrame, points: int = POINTS) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, percent: float) -> float:
-    """The value at position int(n * percent / 100) of the sorted values, the last at most; 0 for none. Two passes, no sort on one task."""
-    n = values.count()
-    if not n:
-        return 0.0
-    at = min(int(n * percent / 100), n - 1)
-    counted = values.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(column))  # a row for each distinct value
-    return float(counted.withColumn("_upto", upto).where(F.col("_upto") > at).agg(F.min(column)).first()[0])
+    """One value of sketches.ranks(); 0 for none."""
+    found = sketches.ranks(values, column, [percent]).first()
+    return found.value if found else 0.0

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from otspark.operators import assets, rules
+from otspark.operators import assets, rules, sketches
 from otspark.plans.catalog import register
 from otspark.plans.frame_queries import WRITES, modbus_frames
 from otspark.sources.packets import PACKETS, packets
@@ -78,8 +77,8 @@ def severity_filter(spark, sf_dir):
 @register("event_timeline", EVENTS + "SELECT row_number() OVER (ORDER BY ts_us, rule_id, packet_number) AS place, packet_number, rule_id FROM events_of")
 def event_timeline(spark, sf_dir):
     """All events, numbered in their order."""
-    first = rules.timeline(found(spark, sf_dir))
-    return first.select(F.row_number().over(Window.orderBy("ts_us", "rule_id", "packet_number")).cast("long").alias("place"), "packet_number", "rule_id")
+    told = found(spark, sf_dir).select("ts_us", "rule_id", "packet_number")
+    return sketches.numbered(told, [F.asc_nulls_first("ts_us"), F.col("rule_id"), F.col("packet_number")]).select("place", "packet_number", "rule_id")
 
 
 @register("rule_count_deltas", EVENTS + ", half AS (SELECT max(packet_number) AS last FROM packets) SELECT rule_id, CAST(count(CASE WHEN packet_number * 2 < last THEN 1 END) AS BIGINT) AS before, CAST(count(CASE WHEN packet_number * 2 >= last THEN 1 END) AS BIGINT) AS now, CAST(count(CASE WHEN packet_number * 2 >= last THEN 1 END) - count(CASE WHEN packet_number * 2 < last THEN 1 END) AS BIGINT) AS delta FROM events_of, half GROUP BY rule_id")

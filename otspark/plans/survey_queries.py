@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from otspark.functions.dims import PORTS, values
-from otspark.operators import cleartext, survey
+from otspark.operators import cleartext, graph, sketches, survey
 from otspark.plans.catalog import register
-from otspark.sources.packets import POLLING, TALK, TALK_SQL, packets, polling, talk
+from otspark.sources.packets import PACKETS, POLLING, TALK, TALK_SQL, packets, polling, talk
 
 OBSERVED = f"""{TALK_SQL},
  seen AS (SELECT *, CASE k WHEN 0 THEN 'modbus_tcp_cleartext' WHEN 1 THEN 'modbus_port_cleartext_non_mbap' WHEN 2 THEN 'iec104_cleartext' WHEN 4 THEN 'http_cleartext_ot_context' WHEN 9 THEN 'snmp_cleartext_community' WHEN 11 THEN 'ics_tcp_port_cleartext_payload' END AS category,
@@ -156,8 +156,21 @@ def survey_timeline(spark, sf_dir):
 
 @register("nearest_rank", f"WITH {POLLING}, s AS (SELECT list_sort(list(length)) AS l FROM packets) SELECT p AS percent, CAST(l[least(CAST(floor(len(l) * p / 100) AS BIGINT), len(l) - 1) + 1] AS DOUBLE) AS value FROM s, (VALUES (10), (50), (90), (100)) AS t(p)")
 def nearest_rank(spark, sf_dir):
-    rows = polling(spark, sf_dir)
-    return spark.createDataFrame([(p, survey.nearest_rank(rows, "length", p)) for p in (10, 50, 90, 100)], "percent int, value double")
+    return sketches.ranks(polling(spark, sf_dir), "length", (10, 50, 90, 100)).select(F.col("percent").cast("int").alias("percent"), "value")
+
+
+@register("sketched_uniques", f"WITH {PACKETS}, r AS (SELECT *, packet_number % 3 AS part FROM packets) SELECT part, count(*) AS packets, count(DISTINCT src_ip) AS sources, count(DISTINCT least(src_ip, dst_ip) || '|' || greatest(src_ip, dst_ip)) AS pairs, true AS sources_close, true AS pairs_close, true AS median_close FROM r GROUP BY part UNION ALL SELECT -1, count(*), count(DISTINCT src_ip), count(DISTINCT least(src_ip, dst_ip) || '|' || greatest(src_ip, dst_ip)), true, true, true FROM r")
+def sketched_uniques(spark, sf_dir):
+    """Sketches of three captures, and of their union (part -1), against exact counts: within five percent, the median within five percent of the ranks."""
+    rows = packets(spark, sf_dir).withColumn("file_idx", (F.col("packet_number") % 3).cast("int"))
+    kept = graph.cut(sketches.of_captures(rows))
+    every = sketches.merged(kept.withColumn("part", F.lit(-1)), "part").unionByName(sketches.merged(kept.withColumnRenamed("file_idx", "part"), "part"))
+    told = sketches.estimates(every, "part", percents=(50,))
+    pair = F.concat_ws("|", F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip"))
+    dealt = rows.select(F.explode(F.array(F.lit(-1), "file_idx")).alias("part"), "src_ip", pair.alias("pair"), "length")
+    exact = dealt.groupBy("part").agg(F.countDistinct("src_ip").alias("_s"), F.countDistinct("pair").alias("_p"), F.percentile("length", 0.45).alias("_low"), F.percentile("length", 0.55).alias("_high"))
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    return told.join(exact, "part").select("part", "packets", F.col("_s").alias("sources"), F.col("_p").alias("pairs"), close("sources", "_s").alias("sources_close"), close("pairs", "_p").alias("pairs_close"), F.col("length_p50").between(F.floor("_low"), F.ceil("_high")).alias("median_close"))
 
 
 assert len(TALK) == 12  # the SQL counts on it

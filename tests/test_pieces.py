@@ -7,7 +7,9 @@ import statistics
 
 import pytest
 
-from otspark.operators import baseline, flows
+from pyspark.sql import functions as F
+
+from otspark.operators import baseline, flows, sketches
 
 COLUMNS = "src_ip string, dst_ip string, src_port int, dst_port int, transport string, file_idx int, packet_number long, ts_us long, length long"
 
@@ -66,3 +68,30 @@ def test_intervals(spark, monkeypatch, piece, tracked):
     for r in got:
         v = taken[r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.transport]
         assert r.cv == pytest.approx(statistics.pstdev(v) / 1e6 / (r.median_s + 1e-9))
+
+
+def test_running_totals_and_ranks(spark):
+    rng = random.Random(2)
+    values = [rng.choice([1, 1, 1, 7, rng.randrange(10**12)]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").repartition(4)
+    for percents in ([0, 10, 50, 90, 99.9, 100], [50]):
+        got = {r.percent: r.value for r in sketches.ranks(df, "v", percents).collect()}
+        assert got == {float(p): float(sorted(values)[min(int(len(values) * p / 100), len(values) - 1)]) for p in percents}
+    assert sketches.ranks(df.limit(0), "v", [10]).count() == 0
+    placed = sketches.numbered(df, [F.col("v").desc(), F.col("i")]).collect()
+    want = {(i, v): n for n, (v, i) in enumerate(sorted(((v, i) for i, v in enumerate(values)), key=lambda x: (-x[0], x[1])), 1)}
+    assert {(r.i, r.v): r.place for r in placed} == want
+
+
+def test_sketches_merge(spark):
+    rows = [r for r in rows_of(5) if r[2]]
+    df = spark.createDataFrame(rows, COLUMNS)
+    kept = sketches.of_captures(df)
+    assert kept.count() == 2
+    (one,) = sketches.estimates(sketches.merged(kept)).collect()
+    assert (one.packets, one.sources, one.destinations, one.pairs) == (600, 5, 1, 5)
+    lengths = sorted(r[8] for r in rows)
+    for p in (10, 50, 90):
+        assert lengths[max(0, 6 * p - 20)] <= one[f"length_p{p}"] <= lengths[min(599, 6 * p + 20)]
+    (none,) = sketches.estimates(sketches.of_captures(df.where("packet_number = 1 AND file_idx = 0"))).collect()
+    assert none.gap_p50 is None and none.length_p50 == rows[0][8]
