@@ -126,12 +126,20 @@ def matches(condition: dict) -> Column:
 def events(frames: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, min_severity: str = "INFO") -> DataFrame:
     """One row per frame and enabled rule that it meets, of at least the given severity; ids follow from rule and packet."""
     used = [(i, r) for i, r in enumerate(rules) if r.enabled and SEVERITIES[r.severity] >= SEVERITIES[min_severity]]
+    code, no = F.concat(F.lit("0x"), F.lpad(F.hex("function_code"), 2, "0")), F.create_map().cast("map<string,string>")
+    code = F.when(F.col("function_code") > 255, F.concat(F.lit("0x"), F.hex("function_code"))).otherwise(code)
+    known = F.col("function_code").isNotNull()
+    where = F.concat(F.coalesce("src_ip", F.lit("None")), F.lit(" → "), F.coalesce("dst_ip", F.lit("None")), F.lit(" ("), F.coalesce("protocol", F.lit("None")), F.when(known, F.concat(F.lit(", FC="), code)).otherwise(""), F.lit(")"))
+    basic = F.map_concat(F.create_map(F.lit("src_ip"), F.col("src_ip"), F.lit("dst_ip"), F.col("dst_ip"), F.lit("protocol"), F.col("protocol")), F.when(known, F.create_map(F.lit("function_code"), code, F.lit("function_name"), F.coalesce("function_name", F.lit("")))).otherwise(no))
+    own = ("src_ip", "dst_ip", "protocol", "function_code", "function_name")
     hit = lambda i, r: F.struct(
         F.lit(r.severity).alias("severity"), F.lit(SCORES[r.severity]).alias("severity_score"), F.lit(r.category).alias("category"), F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"),
         F.lit(r.confidence).alias("confidence"), F.lit(i).alias("rule_position"),
-        F.map_filter("fields", lambda k, v: k.isin(*r.evidence_fields) if r.evidence_fields else F.lit(False)).alias("evidence"),
+        # a field that a rule asks for stands before what every event tells
+        F.map_concat(F.map_filter(basic, lambda k, v: ~(k.isin(*r.evidence_fields) & F.array_contains(F.map_keys(F.coalesce("fields", no)), k)) if set(own) & set(r.evidence_fields) else F.lit(True)), F.coalesce(F.map_filter("fields", lambda k, v: k.isin(*r.evidence_fields) if r.evidence_fields else F.lit(False)), no)).alias("evidence"),
+        F.concat(F.lit(f"{r.description} — "), where).alias("description"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.array("src_ip", "dst_ip").alias("affected_assets"),
     )
-    none = "array<struct<severity:string,severity_score:int,category:string,rule_id:string,rule_name:string,confidence:double,rule_position:int,evidence:map<string,string>>>"
+    none = "array<struct<severity:string,severity_score:int,category:string,rule_id:string,rule_name:string,confidence:double,rule_position:int,evidence:map<string,string>,description:string,tags:array<string>,affected_assets:array<string>>>"
     hits = F.array_compact(F.array(*[F.when(matches(r.condition), hit(i, r)) for i, r in used])) if used else F.array().cast(none)
     out = frames.select(*ORDER, "ts_us", "parser_idx", "src_ip", "dst_ip", "protocol", "function_code", "function_name", F.explode(hits).alias("_h")).select("*", "_h.*").drop("_h")
     key = F.concat_ws("|", "rule_id", "rule_position", *ORDER, "parser_idx")

@@ -74,6 +74,16 @@ def severity_filter(spark, sf_dir):
     return found(spark, sf_dir, min_severity="HIGH").groupBy("severity").agg(F.count("*").alias("events"))
 
 
+_RULE = next(r for r in rules.RULES if r.id == "MB-001")
+
+
+@register("event_details", EVENTS + f"SELECT packet_number, rule_id, '{_RULE.description} — ' || src_ip || ' → ' || dst_ip || ' (Modbus, FC=0x' || printf('%02X', fc) || ')' AS description, '{','.join(_RULE.tags)}' AS tags, src_ip || ',' || dst_ip AS affected_assets, printf('0x%02X', fc) AS code, dst_ip AS evidence_target FROM events_of")
+def event_details(spark, sf_dir):
+    """What an event says in words, whom it concerns and what it shows."""
+    of = lambda k: F.try_element_at("evidence", F.lit(k))
+    return found(spark, sf_dir).select("packet_number", "rule_id", "description", F.array_join("tags", ",").alias("tags"), F.array_join("affected_assets", ",").alias("affected_assets"), of("function_code").alias("code"), of("dst_ip").alias("evidence_target"))
+
+
 @register("event_timeline", EVENTS + "SELECT row_number() OVER (ORDER BY ts_us, rule_id, packet_number) AS place, packet_number, rule_id FROM events_of")
 def event_timeline(spark, sf_dir):
     """All events, numbered in their order."""
