@@ -6,7 +6,6 @@ of a report come to the driver.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from otspark.config import Settings
 from otspark.errors import ConfigurationError, RuleError
 from otspark.operators import assets as asset_ops
 from otspark.operators import baseline, cleartext, compare, components, decode, findings, flows, graph, privacy, rules, survey
+from otspark.progress import Progress
 from otspark.sinks import files
 from otspark.sources import capture
 
@@ -33,7 +33,7 @@ class Analysis:
     assets: DataFrame
     events: DataFrame
     read_errors: DataFrame | None
-    began: float
+    progress: Progress
 
     @property
     def spark(self) -> SparkSession:
@@ -71,14 +71,15 @@ def events_of(frames: DataFrame, found: DataFrame, wanted: list[rules.Rule], lea
     return every.where(F.col("severity").isin(*[s for s, n in rules.SEVERITIES.items() if n >= rules.SEVERITIES[least]]))
 
 
-def of_packets(packets: DataFrame, settings: Settings, records: DataFrame | None = None, read_errors: DataFrame | None = None) -> Analysis:
-    """The analysis of packets that are a table already."""
-    began = time.time()
-    frames = graph.cut(decode.decode(packets, list(settings.protocols)))
-    found = graph.cut(flows.with_frames(flows.flow_build(packets), frames))
-    inventory = graph.cut(asset_ops.inventory(packets, frames))
+def of_packets(packets: DataFrame, settings: Settings, records: DataFrame | None = None, read_errors: DataFrame | None = None, progress: Progress | None = None) -> Analysis:
+    """The analysis of packets that are a table already; what the report counts is observed while the tables are made."""
+    progress, rows = progress or Progress(), F.count("*")
+    frames = progress.cut(decode.decode(packets, list(settings.protocols)), "frames", rows=rows, protocols=F.array_sort(F.collect_set("protocol")))
+    found = progress.cut(flows.with_frames(flows.flow_build(packets), frames), "flows", rows=rows, packets=F.coalesce(F.sum("packet_count"), F.lit(0)))
+    inventory = progress.cut(asset_ops.inventory(packets, frames), "assets", rows=rows)
     events = events_of(frames, found, load_rules(packets.sparkSession, settings.rules), settings.min_severity)
-    return Analysis(settings, records, packets, frames, found, inventory, graph.cut(events if settings.with_rules else events.limit(0)), read_errors, began)
+    events = progress.cut(events if settings.with_rules else events.limit(0), "events", rows=rows, **{s: F.count_if(F.col("severity") == s) for s in rules.SEVERITIES})
+    return Analysis(settings, records, packets, frames, found, inventory, events, read_errors, progress)
 
 
 def analyse(spark: SparkSession, settings: Settings) -> Analysis:
@@ -86,7 +87,9 @@ def analyse(spark: SparkSession, settings: Settings) -> Analysis:
     if wrong:
         raise ConfigurationError("; ".join(wrong))
     records = capture.records(spark, list(settings.inputs), settings.most_packets)
-    return of_packets(graph.cut(capture.packets(records)), settings, records, capture.errors(records))
+    progress = Progress()
+    packets = progress.cut(capture.packets(records), "packets", rows=F.count("*"), bytes=F.coalesce(F.sum("length"), F.lit(0)), first_us=F.min("ts_us"), last_us=F.max("ts_us"))
+    return of_packets(packets, settings, records, capture.errors(records), progress)
 
 
 def survey_document(packets: DataFrame) -> dict:
@@ -117,7 +120,7 @@ def report(a: Analysis) -> dict:
     total = a.flows.count()
     exported = min(total, s.most_flows or total)
     out = {
-        "metadata": {"inputs": list(s.inputs), "mode": s.mode, "protocols": list(s.protocols) or list(decode.DECODERS), "duration_seconds": round(time.time() - a.began, 3), "read_errors": rows(a.read_errors) if a.read_errors is not None else [], "evidence": rows(capture.evidence(a.spark, list(s.inputs))) if s.inputs else []},
+        "metadata": {"inputs": list(s.inputs), "mode": s.mode, "protocols": list(s.protocols) or list(decode.DECODERS), **a.progress.metadata(), "read_errors": rows(a.read_errors) if a.read_errors is not None else [], "evidence": rows(capture.evidence(a.spark, list(s.inputs))) if s.inputs else []},
         "summary": {"assets_discovered": a.assets.count(), "ot_assets_discovered": asset_ops.ot_assets(a.assets).count(), "flows_analyzed": total, "flows_exported": exported, "flows_omitted_from_export": total - exported, "anomalies_detected": sum(severity.values()), "critical_anomalies": severity.get("CRITICAL", 0), "protocols_seen": [r["protocol"] for r in rows(a.frames.select("protocol").distinct().orderBy("protocol"))]},
         "assets": short(components.tagged(a.assets).orderBy("ip_address")), "ot_assets": short(asset_ops.ot_assets(a.assets)), "flows": short(files.exported_flows(a.flows, s.most_flows)), "anomalies": short(rules.ordered(a.events)),
         "components": {"catalog": rows(components.catalog(a.spark)), "summary": rows(components.summary(a.assets))[0], "observed": rows(components.tag_counts(a.assets)), "not_observed": [r["component_id"] for r in rows(components.not_seen(a.assets))]},

@@ -41,6 +41,9 @@ def test_report(found):
     ids = [f["finding_id"] for f in d["statistics"]["audit_workbook"]["findings"]]
     assert ids == [f"AUD-{i:03d}" for i in range(1, len(ids) + 1)]
     assert 0 < d["statistics"]["audit_workbook"]["passive_exposure_index"] <= 100
+    steps = {x["step"]: x for x in d["metadata"]["steps"]}
+    assert list(steps) == ["packets", "frames", "flows", "assets", "events"] and d["metadata"]["version"] and d["metadata"]["started"].endswith("+00:00")
+    assert steps["packets"]["rows"] == 4 and steps["flows"]["rows"] == 3 and steps["flows"]["packets"] == 4 and "Modbus" in steps["frames"]["protocols"] and sum(steps["events"][k] for k in ("LOW", "MEDIUM", "HIGH", "CRITICAL")) <= 2
     assert d["statistics"]["deep_survey"]["http_hosts_top"] == [{"host": "10.0.0.9", "packets": 1}]
     json.dumps(d)
 
