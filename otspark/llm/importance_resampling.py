@@ -10,7 +10,7 @@ documents without their texts, and ranks the scores by range partitions. Drawing
 the highest of weight plus Gumbel noise is drawing without replacement with
 probabilities in proportion to the weights.
 
-Bounds: DuckDB sees at most PIECE code points at once (rows are gathered up to
+Bounds: a writer holds a row group of ROW_GROUP bytes; DuckDB sees at most PIECE code points at once (rows are gathered up to
 that, and longer texts come in pieces, each with the two words that follow it, so
 that no run is lost); only a single word can be longer. A row that is spilled has
 at most as many numbers as there are buckets.
@@ -42,6 +42,8 @@ from otspark.llm.common import numbered, text_of, written
 BUCKETS = 10_000
 #: Code points that DuckDB sees at once.
 PIECE = 200_000
+#: Bytes of a row group of what is spilled.
+ROW_GROUP = 16 << 20
 #: Texts with so many code points together give one row of totals.
 TOTAL = 4_000_000
 
@@ -171,7 +173,7 @@ def spilled(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
             yield sums(id_type)
         con.close()
 
-    return written(rows.mapInArrow(spill, kind))
+    return written(rows.mapInArrow(spill, kind), **{"parquet.block.size": ROW_GROUP})  # what a writer holds before it reaches the disk
 
 
 def merged(spill: DataFrame, buckets: int) -> np.ndarray:
