@@ -74,7 +74,7 @@ def events_of(frames: DataFrame, found: DataFrame, wanted: list[rules.Rule], lea
 def of_packets(packets: DataFrame, settings: Settings, records: DataFrame | None = None, read_errors: DataFrame | None = None, progress: Progress | None = None) -> Analysis:
     """The analysis of packets that are a table already; what the report counts is observed while the tables are made."""
     progress, rows = progress or Progress(), F.count("*")
-    frames = progress.cut(decode.decode(packets, list(settings.protocols)), "frames", rows=rows, protocols=F.array_sort(F.collect_set("protocol")))
+    frames = progress.cut(decode.decode(packets, list(settings.protocols), typed=True), "frames", rows=rows, protocols=F.array_sort(F.collect_set("protocol")))
     found = progress.cut(flows.with_frames(flows.flow_build(packets), frames), "flows", rows=rows, packets=F.coalesce(F.sum("packet_count"), F.lit(0)))
     inventory = progress.cut(asset_ops.inventory(packets, frames), "assets", rows=rows)
     events = events_of(frames, found, load_rules(packets.sparkSession, settings.rules), settings.min_severity)

@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from otspark.functions import codes
 from otspark.functions.net import either_port
-from otspark.operators.decode import COLUMNS, DECODERS, decode, member
+from otspark.operators.decode import COLUMNS, DATA, DECODERS, as_map, decode, member
 
 #: What a plug-in may give of a frame.
 GIVEN = "function_code int, function_name string, message_type string, is_request boolean, is_exception boolean, is_write_operation boolean, is_diagnostic boolean, is_control_command boolean, risk_note string, fields map<string,string>"
@@ -75,9 +75,10 @@ def decode_with(packets: DataFrame, plugin: Plugin) -> DataFrame:
     return told.select(*packets.columns, "parser_idx", *COLUMNS)
 
 
-def decode_all(packets: DataFrame, plugins: list[Plugin], protocols: list[str] | None = None) -> DataFrame:
-    """Frames of the decoders of columns and of plug-ins, which are numbered after them in their order."""
-    out = decode(packets, protocols)
+def decode_all(packets: DataFrame, plugins: list[Plugin], protocols: list[str] | None = None, *, typed: bool = False) -> DataFrame:
+    """Frames of the decoders of columns and of plug-ins, which are numbered after them in their order; typed fields of plug-ins are texts."""
+    out = decode(packets, protocols, typed=typed)
     for i, p in enumerate(plugins):
-        out = out.unionByName(decode_with(packets, p).withColumn("parser_idx", F.lit(len(DECODERS) + i)))
+        own = decode_with(packets, p).withColumn("parser_idx", F.lit(len(DECODERS) + i))
+        out = out.unionByName(own.withColumn(DATA, F.to_variant_object(as_map(F.col("fields"), "variant"))) if typed else own)
     return out

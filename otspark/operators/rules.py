@@ -4,6 +4,9 @@ A condition is a mapping as rule files have it; its clauses are joined by AND:
 protocol; function_code (a number, or in / range / not_in); unit_id; message_type; service_code (a number or in);
 payload_field (name with equals, greater_than, less_than). A missing code matches no number and no `in`, passes `not_in`,
 and counts as -1 in a range, as a code of 0 does.
+
+Over typed frames (decode(typed=True)) a field is compared as what it is: a number with numbers, a text with texts; `equals`
+with nothing asks for a field that is missing. Over frames with text alone a field is read as the rule's value is.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from otspark.functions.dims import SCORES, SEVERITIES
+from otspark.operators import typed
 from otspark.sources.packets import ORDER
 
 
@@ -93,8 +97,8 @@ def _number_clause(of: Column, wanted) -> list[Column]:
     return out
 
 
-def matches(condition: dict) -> Column:
-    """The condition as one Column over frames; clauses of unusable types never match."""
+def matches(condition: dict, by_type: bool = False) -> Column:
+    """The condition as one Column over frames, typed ones or not; clauses of unusable types never match."""
     value = lambda k: F.try_element_at("fields", F.lit(k))
     code = F.col("function_code")
     tests: list[Column] = []
@@ -104,14 +108,18 @@ def matches(condition: dict) -> Column:
         if "function_code" in condition and not isinstance(condition["function_code"], list):
             tests += _number_clause(code, condition["function_code"])
         if "unit_id" in condition:
-            tests.append(value("unit_id").try_cast("long") == condition["unit_id"])
+            tests.append(typed.equals("unit_id", condition["unit_id"]) if by_type else value("unit_id").try_cast("long") == condition["unit_id"])
         if "message_type" in condition:
             tests.append(F.col("message_type") == condition["message_type"])
         if "service_code" in condition:
             wanted = condition["service_code"]
-            tests += _number_clause(F.coalesce(value("s7_function_code").try_cast("int"), code), wanted if isinstance(wanted, int) else {"in": wanted["in"]})
+            s7 = typed.number("s7_function_code", "int") if by_type else value("s7_function_code").try_cast("int")
+            tests += _number_clause(F.coalesce(s7, code), wanted if isinstance(wanted, int) else {"in": wanted["in"]})
         if "payload_field" in condition and (name := condition["payload_field"].get("name")):
             f = condition["payload_field"]
+            if by_type:
+                tests += [typed.TESTS[k](name, f[k]) for k in typed.TESTS if k in f]
+                f = {}
             if "equals" in f:
                 tests.append(value(name) == (str(f["equals"]).lower() if isinstance(f["equals"], bool) else str(f["equals"])))
             if "greater_than" in f:
@@ -140,7 +148,7 @@ def events(frames: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, min_
         F.concat(F.lit(f"{r.description} — "), where).alias("description"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.array("src_ip", "dst_ip").alias("affected_assets"),
     )
     none = "array<struct<severity:string,severity_score:int,category:string,rule_id:string,rule_name:string,confidence:double,rule_position:int,evidence:map<string,string>,description:string,tags:array<string>,affected_assets:array<string>>>"
-    hits = F.array_compact(F.array(*[F.when(matches(r.condition), hit(i, r)) for i, r in used])) if used else F.array().cast(none)
+    hits = F.array_compact(F.array(*[F.when(matches(r.condition, typed.DATA in frames.columns), hit(i, r)) for i, r in used])) if used else F.array().cast(none)
     out = frames.select(*ORDER, "ts_us", "parser_idx", "src_ip", "dst_ip", "protocol", "function_code", "function_name", F.explode(hits).alias("_h")).select("*", "_h.*").drop("_h")
     key = F.concat_ws("|", "rule_id", "rule_position", *ORDER, "parser_idx")
     return out.withColumn("event_id", F.concat(F.lit("ANO-"), F.substring(F.md5(key), 1, 16)))

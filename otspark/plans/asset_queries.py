@@ -27,7 +27,7 @@ def inventory(spark, sf_dir):
 
 
 def found(spark, sf_dir, **options):
-    return rules.events(modbus_frames(spark, sf_dir), **options)
+    return rules.events(modbus_frames(spark, sf_dir, typed=True), **options)
 
 
 @register("asset_inventory", WITH + "SELECT ip_address, first_seen_us, last_seen_us, packet_count, bytes_total, open_ports, partner_count, i AS initiated_connections, r AS received_connections, units AS unit_count FROM assets")

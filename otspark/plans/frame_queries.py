@@ -19,8 +19,8 @@ WRITES = "(5, 6, 15, 16, 21, 22, 23)"
 MODBUS = "modbus AS (SELECT * FROM packets)"
 
 
-def modbus_frames(spark, sf_dir):
-    return decode.decode(packets(spark, sf_dir), ["modbus"])
+def modbus_frames(spark, sf_dir, **options):
+    return decode.decode(packets(spark, sf_dir), ["modbus"], **options)
 
 
 @register("modbus_decode", f"WITH {PACKETS}, {MODBUS} SELECT packet_number, fc AS function_code, fc IN {WRITES} AS is_write_operation, false AS is_exception FROM modbus")

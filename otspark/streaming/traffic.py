@@ -54,4 +54,4 @@ def new_pairs(packets: DataFrame, late: str = "1 day") -> DataFrame:
 
 def rule_events(packets: DataFrame, protocols: list[str] | None = None, min_severity: str = "INFO") -> DataFrame:
     """Events of rules as packets come; there is no state in it."""
-    return rules.events(decode.decode(packets, protocols), min_severity=min_severity)
+    return rules.events(decode.decode(packets, protocols, typed=True), min_severity=min_severity)
