@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from otspark.config import Settings
 from otspark.errors import ConfigurationError, RuleError
 from otspark.operators import assets as asset_ops
-from otspark.operators import baseline, cleartext, compare, components, decode, findings, flows, graph, privacy, rules, survey
+from otspark.operators import baseline, cleartext, compare, components, decode, findings, flows, graph, privacy, rules, survey, topology
 from otspark.progress import Progress
 from otspark.sinks import files
 from otspark.sources import capture
@@ -173,6 +173,11 @@ def export(a: Analysis) -> dict[str, str]:
     if "graphml" in s.formats and s.graph and document["topology"]:
         out["graphml"] = place("topology", "graphml")
         files.write_bytes(spark, out["graphml"], files.graphml(document["topology"]["nodes"], document["topology"]["edges"]))
+        shown = [len(document["topology"][k]) for k in ("nodes", "edges")]
+        if max(shown) >= SHOWN or shown[1] == s.most_edges:  # the document may lack some: the whole graph beside it
+            out["graphml_whole"] = place("topology_whole", "graphml")
+            of = topology.merged(topology.edges(a.flows))
+            topology.write_graphml(hide(topology.nodes(of, a.assets)), hide(of), out["graphml_whole"])
     if s.subset and a.records is not None:
         keyed = a.events.join(a.packets.select("file_idx", "packet_number", "pcap_file"), ["file_idx", "packet_number"])
         if files.write_capture(files.subset(a.records, keyed), s.subset):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from otspark.functions.dims import ports
 from otspark.functions.net import pseudonym
-from otspark.operators import baseline, decode, flows, graph
+from otspark.operators import baseline, decode, flows, graph, topology
 from otspark.plans.asset_queries import WITH as WITH_ASSETS
 from otspark.plans.asset_queries import found, inventory
 from otspark.plans.catalog import register
@@ -34,6 +34,38 @@ def comm_graph_links(spark, sf_dir):
     return graph.links(framed(spark, sf_dir)).withColumn("protocols", F.array_join("ics_protocols", ",")).drop("ics_protocols")
 
 
+#: An edge for each flow of the packet view, all of them Modbus; and the first flow of each pair.
+TOPOLOGY = """edges AS (SELECT src_ip, dst_ip, flow_id, 'Modbus' AS protocol, packet_count, byte_count, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN start_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(start_us % 1000000 AS VARCHAR), 6, '0') END AS first_seen,
+    strftime(make_timestamp(end_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN end_us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(end_us % 1000000 AS VARCHAR), 6, '0') END AS last_seen, first_packet FROM flows),
+ codes AS (SELECT src_ip, src_port, dst_ip, array_to_string(list_sort(list(DISTINCT fc)), ',') AS codes FROM packets GROUP BY ALL)"""
+
+
+@register("topology_edges", WITH + f", {TOPOLOGY} SELECT e.src_ip, e.dst_ip, e.flow_id, protocol, e.packet_count, e.byte_count, first_seen, last_seen, codes FROM edges e JOIN flows f USING (flow_id) JOIN codes c ON c.src_ip = f.src_ip AND c.src_port = f.src_port AND c.dst_ip = f.dst_ip")
+def topology_edges(spark, sf_dir):
+    """An edge for each flow, with its protocol, times and codes."""
+    codes = F.array_join(F.col("function_codes_used").cast("array<string>"), ",").alias("codes")
+    return topology.edges(framed(spark, sf_dir)).select("src_ip", "dst_ip", "flow_id", "protocol", "packet_count", "byte_count", "first_seen", "last_seen", codes)
+
+
+@register("topology_merged", WITH + f", {TOPOLOGY} SELECT src_ip, dst_ip, 'Modbus' AS protocols, CAST(sum(packet_count) AS BIGINT) AS packet_count, CAST(sum(byte_count) AS BIGINT) AS byte_count, count(*) AS flows, arg_min(first_seen, first_packet) AS first_seen, arg_min(last_seen, first_packet) AS last_seen FROM edges GROUP BY src_ip, dst_ip")
+def topology_merged(spark, sf_dir):
+    """Edges merged by pair: sums, and the times of the pair's first flow."""
+    of = topology.merged(topology.edges(framed(spark, sf_dir)))
+    return of.select("src_ip", "dst_ip", F.array_join("protocols", ",").alias("protocols"), "packet_count", "byte_count", "flows", "first_seen", "last_seen")
+
+
+#: Risk from which on the packet view has ends of paths.
+LEAST = 1.5
+
+
+@register("critical_paths", WITH_ASSETS + f", high AS (SELECT ip_address AS ip, (SELECT min(struct_pack(n := packet_number, side := CASE WHEN src_ip = ip_address THEN 0 ELSE 1 END)) FROM packets WHERE ip_address IN (src_ip, dst_ip)) AS first FROM assets WHERE risk_score >= {LEAST}) SELECT DISTINCT s.ip AS source, d.ip AS ip, 1 AS hops, s.ip || '>' || d.ip AS path FROM high s JOIN packets p ON p.src_ip = s.ip JOIN high d ON p.dst_ip = d.ip WHERE s.first < d.first")
+def critical_paths(spark, sf_dir):
+    """Shortest paths between risky addresses, from the one seen earlier: in the packet view none is longer than an edge."""
+    rows = packets(spark, sf_dir)
+    of = rows.select("src_ip", "dst_ip").distinct()
+    return topology.critical_paths(of, inventory(spark, sf_dir), topology.first_seen(rows), LEAST).select("source", "ip", "hops", F.array_join("path", ">").alias("path"))
+
+
 @register("zones", WITH_ASSETS + ", z AS (SELECT regexp_replace(ip_address, '\\.\\d+$', '.0/24') AS subnet, count(*) AS members FROM assets GROUP BY 1) SELECT printf('ZONE-%03d', row_number() OVER (ORDER BY subnet)) AS zone_id, subnet, members, 'Modbus' AS primary_protocol FROM z")
 def zones(spark, sf_dir):
     return graph.zones(inventory(spark, sf_dir))

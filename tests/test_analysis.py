@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+import pathlib
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -70,6 +72,15 @@ def test_exports(spark, place, found):
     assert [(r.packet_number, bytes(r.raw)) for r in again.orderBy("packet_number").collect()] == [(1, frame(BODY)), (2, frame(BODY, dport=3389))]
 
 
+def test_a_graph_that_a_document_cuts_is_written_whole(found, tmp_path, monkeypatch):
+    monkeypatch.setattr(analysis, "SHOWN", 1)
+    of = dataclasses.replace(found, settings=dataclasses.replace(found.settings, formats=("graphml",), subset=None, anonymise=True, output=f"file://{tmp_path}"))
+    out = {k: v.removeprefix("file://") for k, v in analysis.export(of).items()}
+    root = ET.fromstring("".join(p.read_text() for p in sorted(pathlib.Path(out["graphml_whole"]).glob("part-*"))))
+    ids = {n.get("id") for n in root.findall(".//{*}node")}
+    assert ids == {privacy.pseudonym_of("10.0.0.1"), privacy.pseudonym_of("10.0.0.2")} and {e.get("source") for e in root.findall(".//{*}edge")} <= ids
+
+
 def test_empty_exports(spark, tmp_path):
     none = spark.createDataFrame([], "b array<string>, a int")
     files.write_csv(none, f"file://{tmp_path}/none.csv")
