@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,38 @@ def written(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Freed memory back to the system: workers wait for their next task with what they hold, and there are more of them than cores."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches whose worker gives memory back at the end of the task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of a group whose worker gives memory back after each."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out = f(b)
+        give_back()
+        return out
+
+    return run
+
+
 def whole(df: DataFrame, name: str = "_doc") -> Column:
     """All columns of a row as one struct: what an operator adds beside it clashes with none of them."""
     return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from otspark.llm.common import crc_mod, text_of, written
+from otspark.llm.common import crc_mod, lean, lean_group, text_of, written
 
 #: Base of the count levels, bits an entry, probes an entry.
 BASE, BITS, PROBES = 1.5, 14, 7
@@ -55,6 +55,10 @@ PIECES = 64
 HEAD = 600_000
 #: Pair tokens of a group.
 GROUP = 3_000_000
+#: Pair tokens that a task sums at a time.
+FLUSH = 1_000_000
+#: What a writer of spilled rows holds before it reaches the disk.
+ROW_GROUP = {"parquet.block.size": 16 << 20}
 #: Words that a worker remembers; beyond that it starts afresh.
 REMEMBERED = 150_000
 #: Probes that are answered at a time.
@@ -182,7 +186,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         for at in range(0, len(words), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()).cast(pa.string()), pa.array(counts[at : at + 50_000], pa.int64())], ["word", "c"])
 
-    return train.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(lean(count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Hashes(dict):
@@ -238,7 +242,7 @@ def pair_counts(train: DataFrame, groups: int) -> DataFrame:
                 h[1:-1] = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
                 parts.append(pair(h[:-1], h[1:]))
                 held += len(w) + 1
-                if held > 1_000_000:
+                if held > FLUSH:
                     yield flush()
                     held = 0
                 if len(known) > REMEMBERED:
@@ -251,7 +255,7 @@ def pair_counts(train: DataFrame, groups: int) -> DataFrame:
         g, more = int(b.g.iloc[0]), c > 1
         return pd.DataFrame({"g": [g], "h": [h[more].tobytes()], "c": [np.minimum(c[more], 2**32 - 1).astype(np.uint32).tobytes()], "bits": [piece_bits(spread(g, h), c, 1)]})
 
-    return train.select("text").mapInPandas(count, "g long, h binary, c binary").groupBy("g").applyInPandas(merge, "g long, h binary, c binary, bits binary")
+    return train.select("text").mapInPandas(lean(count), "g long, h binary, c binary").groupBy("g").applyInPandas(lean_group(merge), "g long, h binary, c binary, bits binary")
 
 
 def word_groups(counts: DataFrame) -> DataFrame:
@@ -262,7 +266,7 @@ def word_groups(counts: DataFrame) -> DataFrame:
             h = b.h.to_numpy(np.int64).view(np.uint64)
             yield packed((h % np.uint64(PIECES)).astype(np.int64), h, np.minimum(b.c.to_numpy(np.int64), 2**32 - 1))
 
-    return counts.select(F.xxhash64("word").alias("h"), "c").mapInPandas(pack, "g long, h binary, c binary")
+    return counts.select(F.xxhash64("word").alias("h"), "c").mapInPandas(lean(pack), "g long, h binary, c binary")
 
 
 def built(entries: DataFrame, kind: type, most: int, lowest: int) -> tuple[Filter, np.ndarray]:
@@ -274,7 +278,7 @@ def built(entries: DataFrame, kind: type, most: int, lowest: int) -> tuple[Filte
             q = level(c)
             yield pd.DataFrame({"q": np.arange(201), "n": np.bincount(q, minlength=201)[:201], "t": np.bincount(q, c, 201)[:201].astype(np.int64)}).query("n > 0")
 
-    seen = entries.mapInPandas(levels, "q long, n long, t long").groupBy("q").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
+    seen = entries.mapInPandas(lean(levels), "q long, n long, t long").groupBy("q").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()
     table = np.array(sorted((r.q, r.n, r.t) for r in seen), np.int64).reshape(-1, 3)
     least = lowest
     while (np.maximum(table[:, 0] - least + 1, 0) * table[:, 1]).sum() * BITS > 8 * most:
@@ -294,7 +298,7 @@ def built(entries: DataFrame, kind: type, most: int, lowest: int) -> tuple[Filte
                 rows.append((g % PIECES, g, np.frombuffer(h, kind)[ok].tobytes(), c2[ok].tobytes()))
             yield pd.DataFrame(rows, columns=["piece", "g", "h", "c"])
 
-    pieces = {r.piece: bytes(r.bits) for r in entries.mapInPandas(fitting, "piece long, g long, h binary, c binary").groupBy("piece").applyInPandas(piece, "piece long, bits binary").collect()}
+    pieces = {r.piece: bytes(r.bits) for r in entries.mapInPandas(lean(fitting), "piece long, g long, h binary, c binary").groupBy("piece").applyInPandas(lean_group(piece), "piece long, bits binary").collect()}
     return Filter([pieces.get(i, b"") for i in range(PIECES)], least), table
 
 
@@ -457,7 +461,7 @@ def corrections(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
             settle()
             yield pd.concat(out) if out else pd.DataFrame(columns=["_first", "g", "d", "v"])
 
-    return asked.unionByName(filters).repartition("g").sortWithinPartitions("g", "kind").mapInPandas(answer, "_first long, g long, d binary, v binary")
+    return asked.unionByName(filters).repartition("g").sortWithinPartitions("g", "kind").mapInPandas(lean(answer), "_first long, g long, d binary, v binary")
 
 
 def added(b: pd.DataFrame) -> pd.DataFrame:
@@ -490,7 +494,7 @@ def rare_tokens(first: DataFrame, counts: DataFrame, groups: int, model: Model)
 
     schema = "_row long, more double, g long, _first long, m_h binary, m_u binary, m_w binary, m_d binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    return tokens.repartition("_first").sortWithinPartitions("_first", "_row").mapInPandas(settle, schema)
+    return tokens.repartition("_first").sortWithinPartitions("_first", "_row").mapInPandas(lean(settle), schema)
 
 
 def lm_scores(docs: DataFrame, train: Column | None = None, *, text_col: str = "text", id_col: str = "doc_id", filter_bytes: tuple[int, int] = FILTER_BYTES, head_words: int = HEAD, group: int = GROUP) -> DataFrame:
@@ -508,7 +512,7 @@ def lm_scores(docs: DataFrame, train: Column | None = None, *, text_col: str = "
     n, v = int(stat.n) + texts, int(stat.v) + (texts > 0)
     groups = PIECES * max(1, -(-n // (group * PIECES)))
     words, _ = built(word_groups(counts), np.uint64, filter_bytes[0], 1)
-    pair_table = written(pair_counts(learn, groups))
+    pair_table = written(pair_counts(learn, groups), **ROW_GROUP)
     pairs, held = built(pair_table.select("g", "h", "c"), np.uint32, filter_bytes[1], 2)
     share = float(held[:, 2].sum()) / n if n else 0.0
     # the head: words at or above the lowest power of two that leaves at most head_words of them
@@ -547,7 +551,7 @@ def lm_scores(docs: DataFrame, train: Column | None = None, *, text_col: str = "
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"_row long, _first long, doc_id {id_type}, held_out boolean, n_tokens long, score double, head_sum double, head_known long, words array<string>, times array<long>, rare_u array<long>, rare_w array<long>, g long, m_h binary, m_u binary, m_w binary, m_d binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    both = written(rows.mapInPandas(score, schema))
+    both = written(rows.mapInPandas(lean(score), schema), **ROW_GROUP)
     first = both.where("_row is not null")
     tail = first.where("size(words) > 0").select("_row", F.explode(F.arrays_zip("words", "times")).alias("_t")).select("_row", F.col("_t.words").alias("word"), F.col("_t.times").alias("times"))
     tail = tail.join(counts, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum("times").alias("tail_known"))
@@ -555,7 +559,7 @@ def lm_scores(docs: DataFrame, train: Column | None = None, *, text_col: str = "
     asked = both.where("g is not null").select(packs)
     more = None
     if words.least > 1:  # else the filter holds every word, and no token has a word that it can't tell of
-        rare = written(rare_tokens(first, counts, groups, model))
+        rare = written(rare_tokens(first, counts, groups, model), **ROW_GROUP)
         asked = asked.unionByName(rare.where("g is not null").select(packs))
         more = rare.where("g is null").select("_row", "more")
     gains = corrections(asked, pair_table, model).groupBy("_first").applyInPandas(added, "_row long, more double")
