@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,9 +131,16 @@ def matches(condition: dict, by_type: bool = False) -> Column:
     return reduce(and_, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(True))
 
 
+def possible(conditions: list[dict]) -> Column:
+    """What frames must have to meet one of the conditions, by protocol and code alone: asked before any field is worked out."""
+    plain = [matches({k: c[k] for k in ("protocol", "function_code") if k in c}) for c in conditions]
+    return reduce(or_, plain, F.lit(False))
+
+
 def events(frames: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, min_severity: str = "INFO") -> DataFrame:
     """One row per frame and enabled rule that it meets, of at least the given severity; ids follow from rule and packet."""
     used = [(i, r) for i, r in enumerate(rules) if r.enabled and SEVERITIES[r.severity] >= SEVERITIES[min_severity]]
+    frames = frames.where(possible([r.condition for _, r in used]))
     code, no = F.concat(F.lit("0x"), F.lpad(F.hex("function_code"), 2, "0")), F.create_map().cast("map<string,string>")
     code = F.when(F.col("function_code") > 255, F.concat(F.lit("0x"), F.hex("function_code"))).otherwise(code)
     known = F.col("function_code").isNotNull()

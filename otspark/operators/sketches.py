@@ -21,8 +21,11 @@ REGISTERS, ITEMS = 12, 200
 
 
 def running(df: DataFrame, order: Sequence[Column], weight: Column, name: str) -> DataFrame:
-    """Adds the total of `weight` up to each row, itself included; the order is to be total."""
-    dealt = cut(df.withColumn("_weight", weight).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    """Adds the total of `weight` up to each row, itself included; the order is to be total.
+
+    The rows are cut first: ranges are found by a pass over them, which would work all of them out a second time.
+    """
+    dealt = cut(cut(df.withColumn("_weight", weight)).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sums = dealt.groupBy("_range").agg(F.sum("_weight").alias("_sum"))  # a row for each range
     before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.sum("_weight").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
