@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 
@@ -272,6 +273,44 @@ def test_shared_passages_awkward(awkward):
     assert {r.doc_id for r in substring_dedup.shared_passages(awkward).collect()} <= {5, 6, 9}
 
 
+@pytest.mark.parametrize("options", [{}, {"most": 3}, {"most": 3, "block": 4}, {"share_rows": 9}, {"share_rows": 9, "most": 3, "block": 4}])
+def test_shared_passages_of_frequent_lines(spark, options):
+    """Two texts whose common passage is made of lines that many others hold singly are linked, and equal texts are members."""
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [some(30) for _ in range(3)]
+    texts = [(i, " ".join(some(40) + sum(lines, []) + some(40))) for i in (1, 2)]
+    texts += [(10 * (k + 1) + i, " ".join(some(60) + line + some(60))) for k, line in enumerate(lines) for i in range(9)]
+    texts += [(100, texts[0][1]), (101, texts[0][1])]
+    got = substring_dedup.shared_passages(spark.createDataFrame(texts, "doc_id long, text string"), **options).collect()
+    assert sorted((*sorted((r.doc_id, r.other_id)), r.equal_words, r.class_id) for r in got) == [(1, 2, 90, 1), (1, 100, 170, 1), (1, 101, 170, 1)]
+
+
+def test_frequent_seeds_lose_no_class(docs):
+    """Classes are the same where all pairs of a seed's texts are compared as they are."""
+
+    def classes(**options):
+        found = substring_dedup.shared_passages(docs, **options)
+        return {(d, r.class_id) for r in found.collect() for d in (r.doc_id, r.other_id)}
+
+    assert classes(most=10_000) == classes(most=2) == classes(most=2, block=50)
+
+
+def test_agreement_and_forest():
+    rng = np.random.default_rng(9)
+    u = 2 * rng.integers(0, 5, (40, 50)).astype(np.uint32)
+    got = substring_dedup.agreement(u, u, 20, tile=16)
+    for i, j in itertools.combinations(range(40), 2):
+        same = "".join("1" if x == y and x else "0" for x, y in zip(u[i], u[j]))
+        runs = re.sub("1+", lambda m: m[0] if len(m[0]) > 2 else "0" * len(m[0]), same)
+        assert got[i, j] == got[j, i] == max(runs[k : k + 20].count("1") for k in range(31))
+    root = list(range(40))
+    for a, b in substring_dedup.forest(got.copy(), True, 7):
+        assert got[a, b] >= 7 and root[a] != root[b]
+        root = [root[a] if r == root[b] else r for r in root]
+    assert not any(got[i, j] >= 7 and root[i] != root[j] for i, j in itertools.combinations(range(40), 2))
+
+
 def test_html(spark):
     para = "The council met on Tuesday and agreed, after a long debate, on the plan for the new bridge over the river. "
     page = f"""<html><head><title>x</title><style>p{{}}</style><script>var a = "<p>no</p>";</script></head><body>
