@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -127,9 +127,9 @@ class Filter:
     def places(h: np.ndarray, j: int, size: np.ndarray) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
             a = mixed(h + np.uint64(j) * np.uint64(0xD6E8FEB86659FD93))
-            b = (a >> np.uint64(32)) | np.uint64(1)
-            for i in range(PROBES):
-                yield (a + np.uint64(i) * b) % size
+            b = (a >> np.uint64(32)) | (a << np.uint64(32)) | np.uint64(1)
+            for i in range(PROBES):  # the upper half, scaled to the size (below 2^32): cheaper than a remainder
+                yield ((a + np.uint64(i) * b) >> np.uint64(32)) * size >> np.uint64(32)
 
     def levels(self, h: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Quantised count of each n-gram, by repeated membership probes in its piece; 0 where it isn't held."""
@@ -141,14 +141,18 @@ class Filter:
         while len(at) and j < len(ESTIMATES):
             with np.errstate(over="ignore"):
                 a = mixed(h + np.uint64(j) * np.uint64(0xD6E8FEB86659FD93))
-                b = (a >> np.uint64(32)) | np.uint64(1)
+                b = (a >> np.uint64(32)) | (a << np.uint64(32)) | np.uint64(1)
+            held, n, first = None, size, start  # which of these pass the probes so far
             for _ in range(PROBES):
-                p = start + a % size
-                in_ = (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if not in_.all():
-                    at, h, size, start, a, b = at[in_], h[in_], size[in_], start[in_], a[in_], b[in_]
+                p = first + ((a >> np.uint64(32)) * n >> np.uint64(32))
+                in_ = np.flatnonzero((self.bits[(p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(in_) < len(a):
+                    held = in_ if held is None else held[in_]
+                    n, first, a, b = n[in_], first[in_], a[in_], b[in_]
                 with np.errstate(over="ignore"):
                     a = a + b
+            if held is not None:
+                at, h, size, start = at[held], h[held], n, first
             out[at] = j
             j += 1
         return out
@@ -379,7 +383,7 @@ def scored(texts: list[str], vocab: Vocabulary, first_row: int) -> tuple[pd.Data
     at = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)  # 1: the end token
     inner = np.ones(len(at), bool)
     inner[ends - 1] = False
-    at[inner] = np.fromiter((i for r in rows for i in r), np.int64, int(inner.sum()))
+    at[inner] = np.fromiter(chain.from_iterable(rows), np.int64, int(inner.sum()))
     before = np.concatenate([[0], at[:-1]])
     before[ends[:-1]] = 0  # 0: the start
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -390,9 +394,11 @@ def scored(texts: list[str], vocab: Vocabulary, first_row: int) -> tuple[pd.Data
         qu, qw = vocab.q[before], vocab.q[at]
         unsure = ((qu == 0) | (qw == 0)) if s.words.least > 1 else unsure
         here = np.flatnonzero((qu > 0) & (qw > 0) & ~unsure)
-        g, r = keyed(pair(vocab.h[before[here]], vocab.h[at[here]]), s.groups)
+        once, back = np.unique(before[here] * np.int64(vocab.count) + at[here], return_inverse=True)  # each pair is probed once
+        g, r = keyed(pair(vocab.h[once // vocab.count], vocab.h[once % vocab.count]), s.groups)
         both = np.zeros(len(at), np.uint8)
-        both[here] = s.pairs.levels(spread(g, r), g % PIECES)
+        both[here] = s.pairs.levels(spread(g, r), g % PIECES)[back]
+        g, r = g[back], r[back]
         logs = np.where(unsure, 0.0, m.logs(qu, qw, both))
         left = both[here] == 0
         where = here[left]
