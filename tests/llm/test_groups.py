@@ -280,7 +280,7 @@ def test_shared_passages_of_frequent_lines(spark, options):
     some = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
     lines = [some(30) for _ in range(3)]
     texts = [(i, " ".join(some(40) + sum((line + some(3) for line in lines), []) + some(40))) for i in (1, 2)]  # only the lines' seeds are shared
-    texts += [(10 * (k + 1) + i, " ".join(some(60) + line + some(60))) for k, line in enumerate(lines) for i in range(9)]
+    texts += [(1000 * (k + 1) + i, " ".join(some(60) + line + some(60))) for k, line in enumerate(lines) for i in range(60)]
     texts += [(100, texts[0][1]), (101, texts[0][1])]
     got = substring_dedup.shared_passages(spark.createDataFrame(texts, "doc_id long, text string"), **options).collect()
     assert sorted((*sorted((r.doc_id, r.other_id)), r.equal_words, r.class_id) for r in got) == [(1, 2, 90, 1), (1, 100, 179, 1), (1, 101, 179, 1)]
